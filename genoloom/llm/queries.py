@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import setjoin, together, topn
+from genoloom.llm import bpe, mix, setjoin, together, topn
 from genoloom.runtime import SPACES, load
 
 _CH = " || ".join(f"chr({ord(c)})" for c in SPACES)
@@ -86,5 +86,26 @@ select id, is_list, c.n as n_copies, coalesce(x.n, 0) as n_links from n join (se
 left join (select u as whole, count(distinct v) as n from q group by 1) x using (whole)
 """
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_odds": p4_odds, "p5_found": p5_found, "p5_summary": p5_summary}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_documents(load(spark, d, "documents"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mixed_blocks(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mixed_shares(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_odds": p4_odds,
+    "p5_found": p5_found,
+    "p5_summary": p5_summary,
+    "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+}
 SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_odds": P4_ODDS_SQL, "p5_found": P5_SQL, "p5_summary": P5_SUMMARY_SQL}
