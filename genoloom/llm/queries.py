@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import bpe, mix, setjoin, together, topn
+from genoloom.llm import bpe, langid, mix, setjoin, together, topn
 from genoloom.runtime import SPACES, load
 
 _CH = " || ".join(f"chr({ord(c)})" for c in SPACES)
@@ -98,6 +98,23 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mixed_shares(load(spark, d, "documents"), load(spark, d, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    documents, tags = load(spark, d, "documents"), load(spark, d, "lang_tags")
+    model = langid.train(documents, tags)
+    found = langid.segments(langid.labelled(documents, tags), model)
+    return langid.label_cases(found.withColumn("langs", F.array_distinct("segments.lang")))
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    out = langid.document_languages(load(spark, d, "documents"), load(spark, d, "lang_tags"))
+    return out.select("doc_id", "label", "lang", "confidence", F.array_join("langs", ",").alias("langs"), F.size("segments").alias("n_segments"))
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    out = langid.document_languages(load(spark, d, "documents"), load(spark, d, "lang_tags"))
+    return out.select("doc_id", F.inline("segments"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
@@ -107,5 +124,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_languages": p8_languages,
+    "p8_segments": p8_segments,
 }
 SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_odds": P4_ODDS_SQL, "p5_found": P5_SQL, "p5_summary": P5_SUMMARY_SQL}
