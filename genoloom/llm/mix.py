@@ -255,6 +255,11 @@ def plan_mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None
     return blocks, slots, plan
 
 
+def _drawn(slots: DataFrame, blocks: DataFrame) -> DataFrame:
+    # the draws come from a small plan, so Spark takes them for small; they grow with the stock
+    return slots.hint("merge").join(blocks, ["source", "block_no"])
+
+
 def _as_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data = batch.column("tokens")
@@ -267,7 +272,7 @@ def _as_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mixed_blocks(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, **vocabulary) -> DataFrame:
     """shard, slot, source, block_no, repeat_no, n_tokens, docs, ids: the mix itself."""
     blocks, slots, _ = plan_mix(documents, targets, total_tokens, **vocabulary)
-    joined = slots.join(blocks, ["source", "block_no"]).select("shard", "slot", "source", "block_no", "repeat_no", "n_tokens", "docs", "tokens")
+    joined = _drawn(slots, blocks).select("shard", "slot", "source", "block_no", "repeat_no", "n_tokens", "docs", "tokens")
     schema = "shard long, slot int, source string, block_no long, repeat_no int, n_tokens int, docs array<struct<doc_id:long,at:int>>, ids array<int>"
     return joined.mapInArrow(_as_ids, schema)
 
@@ -275,7 +280,7 @@ def mixed_blocks(documents: DataFrame, targets: DataFrame, total_tokens: int | N
 def mixed_shares(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, **vocabulary) -> DataFrame:
     """For each wanted source its target, stock, drawn tokens, actual share and most repeats."""
     blocks, slots, plan = plan_mix(documents, targets, total_tokens, **vocabulary)
-    drawn = slots.join(blocks.select("source", "block_no", "n_tokens"), ["source", "block_no"])
+    drawn = _drawn(slots, blocks.select("source", "block_no", "n_tokens"))
     drawn = drawn.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.max("repeat_no").alias("most_repeats"))
     # one row for each source: the window over all of them is small
     out = plan.join(drawn, "source", "left").withColumn("all_tokens", F.sum("drawn_tokens").over(Window.partitionBy()))
