@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import bpe, langid, mix, setjoin, together, topn
+from genoloom.llm import bpe, clusters, langid, mix, setjoin, together, topn
 from genoloom.runtime import SPACES, load
 
 _CH = " || ".join(f"chr({ord(c)})" for c in SPACES)
 _GENE, _PROGRAM = f"nullif(upper(trim(gene, {_CH})), '')", f"nullif(trim(program, {_CH}), '')"
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_pairs(load(spark, d, "dynamic_programs_long"))
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_report(load(spark, d, "dynamic_programs_long"), load(spark, d, "discovery_runs"))
+
+
+P1_SQL = f"""
+with recursive m as (select distinct {_PROGRAM} as program, {_GENE} as gene from dynamic_programs_long),
+v as (select * from m where program is not null and gene is not null),
+n as (select program, count(*) as n from v group by 1),
+k as (select a.program as pa, b.program as pb, count(*) as k from v a join v b on a.gene = b.gene and a.program < b.program group by 1, 2),
+l as (select pa, pb from k join n x on x.program = pa join n y on y.program = pb where 3 * k >= x.n + y.n),
+e as (select pa as a, pb as b from l union all select pb, pa from l),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select distinct a as program_a, b as program_b from r where a < b
+"""
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_genes(load(spark, d, "contextual_membership_scores"))
 
@@ -116,6 +136,8 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_odds": p4_odds,
@@ -128,4 +150,11 @@ QUERIES = {
     "p8_languages": p8_languages,
     "p8_segments": p8_segments,
 }
-SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_odds": P4_ODDS_SQL, "p5_found": P5_SQL, "p5_summary": P5_SUMMARY_SQL}
+SQL = {
+    "p1_found": P1_SQL,
+    "p3_found": P3_SQL,
+    "p4_found": P4_SQL,
+    "p4_odds": P4_ODDS_SQL,
+    "p5_found": P5_SQL,
+    "p5_summary": P5_SUMMARY_SQL,
+}
