@@ -33,7 +33,7 @@ from genoloom.llm.setjoin import blocked
 from genoloom.runtime import clean_gene, clean_name, dense_ids, materialize, pick, release
 
 DIMS, WEIGHTS = 256, 1 << 16
-K_FACTOR, ROUNDS, LLOYD, PROBES, SEED = 4.0, 2, 3, 5, 97
+K_FACTOR, ROUNDS, LLOYD, PROBES, SEED = 4.0, 2, 3, 8, 97
 BLOCK = 3_000
 ROWS = 4_096
 
