@@ -1,24 +1,25 @@
-"""Queries over the driver's tables for the operators of the core, and their SQL."""
+"""All queries of the core over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from genoloom.plans import q_sets
+from genoloom.plans.registry import QUERIES, SQL, query
 from genoloom.runtime import load
 from genoloom.sources import rank_lines
 
+MODULES = (q_sets,)
 
+
+@query(rank_lines.judged_sql() + "select file_id, line_no, reason from j where reason is not null")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rank_lines.failing_lines(load(spark, d, "ranked_genes_for_gsea_raw"))
 
 
+@query(rank_lines.judged_sql() + "select file_id, line_no, gene, cast(score as double) as score from j where reason is null")
 def p2_valid(spark: SparkSession, d: str) -> DataFrame:
     return rank_lines.valid_rows(load(spark, d, "ranked_genes_for_gsea_raw"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_valid": p2_valid}
-SQL = {
-    "p2_found": rank_lines.judged_sql() + "select file_id, line_no, reason from j where reason is not null",
-    "p2_valid": rank_lines.judged_sql() + "select file_id, line_no, gene, cast(score as double) as score from j where reason is null",
-}
+__all__ = ["MODULES", "QUERIES", "SQL"]
