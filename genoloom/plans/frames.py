@@ -112,7 +112,7 @@ def embeddings(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "embeddings").select(F.col("vec_id").alias("gene"), "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
-EMBEDDINGS = "emb as (select vec_id as gene, label, list_transform(embedding, x -> x::double) as v from embeddings)"
+EMBEDDINGS = "emb as (select vec_id as gene, label, list_transform(embedding, lambda x: x::double) as v from embeddings)"
 
 
 def with_(*parts: str) -> str:
