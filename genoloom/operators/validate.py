@@ -45,8 +45,12 @@ def claim_retention(matches: DataFrame, on: list[str]) -> DataFrame:
 
 def safe_corr(x: str, y: str) -> Column:
     """Pearson; null for fewer than two pairs or a constant side."""
-    ok = (F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) >= 2) & (F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12)
-    return F.when(ok, F.corr(x, y))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    ok = (F.count(a) >= 2) & (F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12)
+    # the built-in corr fails on a constant side under ANSI rules
+    return F.when(ok, F.try_divide(F.covar_pop(a, b), spread))
 
 
 def reproducibility(cohorts: DataFrame, top_k: int = 20, threshold: float = 0.1) -> DataFrame:
