@@ -4,8 +4,9 @@ A sentence is the mean of the embeddings of its words' subwords (character n-gra
 word, hashed into BUCKETS rows); a linear softmax over that mean gives the languages. The model
 is trained by stochastic gradient descent in numpy on sentences of a bounded, hash-ordered
 sample of labelled documents (DOCS_EACH for each language, SENTENCES_EACH from each document).
-Labels are partly wrong, so after a first fit the sentences whose label has less than half the
-probability of the best language are left out and the model is fitted again. On held-out
+Labels are partly wrong, so models of two halves of the documents judge each other's half first,
+and the sentences whose label has less than half the probability of the best language are left
+out of the final fit. On held-out
 sentences a temperature makes the probabilities honest, and the rejection threshold is the
 lowest at which accepted sentences are right in ACCEPT of all cases.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from genoloom.llm.bpe import slices
 from genoloom.runtime import pick
 
-BUCKETS, WIDTH, EPOCHS, LEAST_STEPS, RATE, BATCH, SEED = 1 << 17, 12, 4, 500, 1.5, 128, 5
+BUCKETS, WIDTH, EPOCHS, LEAST_STEPS, RATE, BATCH, SEED = 1 << 17, 12, 3, 200, 0.2, 128, 5
 DOCS_EACH, SENTENCES_EACH, TRAIN_WORDS = 400, 6, 40
 MIN_WORDS, MIN_SIGNS, LONGEST = 3, 6, 40
 ACCEPT = 0.995
@@ -148,12 +149,15 @@ def _sgd(bags: list[np.ndarray], labels: np.ndarray, classes: int) -> tuple[np.n
     sizes = np.fromiter(map(len, bags), np.int64, len(bags))
     starts = np.cumsum(sizes) - sizes
     emb = rng.uniform(-1 / WIDTH, 1 / WIDTH, (len(used), WIDTH)).astype(np.float32)
-    out, bias = np.zeros((WIDTH, classes), np.float32), np.zeros(classes, np.float32)
+    out, bias = rng.normal(0, 0.1, (WIDTH, classes)).astype(np.float32), np.zeros(classes, np.float32)
     batches = -(-len(bags) // BATCH)
     epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
-    steps, step = epochs * batches, 0
-    for _ in range(epochs):
+    # steps scaled by the root of the squared gradients so far keep common subwords from overshooting
+    seen_emb, seen_out, seen_bias = np.full_like(emb, 1e-10), np.full_like(out, 1e-10), np.full_like(bias, 1e-10)
+    grad = np.zeros_like(emb)
+    for epoch in range(epochs):
         order = rng.permutation(len(bags))
+        rate = RATE * (1 - 0.9 * epoch / epochs)
         for lo in range(0, len(bags), BATCH):
             pick_ = order[lo : lo + BATCH]
             n = sizes[pick_]
@@ -164,12 +168,12 @@ def _sgd(bags: list[np.ndarray], labels: np.ndarray, classes: int) -> tuple[np.n
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick_)), labels[pick_]] -= 1
-            rate = RATE * (1 - step / steps)
-            step += 1
-            back = (p @ out.T) / n[:, None]
-            out -= rate * (mean.T @ p) / 8
-            bias -= 0.1 * rate * p.mean(0)
-            np.subtract.at(emb, rows, np.repeat(rate * back, n, axis=0).astype(np.float32))
+            p /= len(pick_)
+            grad[:] = 0
+            np.add.at(grad, rows, np.repeat((p @ out.T) / n[:, None], n, axis=0).astype(np.float32))
+            for value, g, seen in ((emb, grad, seen_emb), (out, mean.T @ p, seen_out), (bias, p.sum(0), seen_bias)):
+                seen += g * g
+                value -= rate * g / np.sqrt(seen)
     table = np.zeros((BUCKETS, WIDTH), np.float32)
     table[used] = emb
     return table, out, bias
@@ -195,26 +199,29 @@ def fit(rows: list[tuple[str, int, str]]) -> Model | None:
     held = np.array([zlib.crc32(str(d).encode()) % 5 == 0 for d in doc])
     if held.all() or not held.any():
         held = np.zeros(len(doc), bool)
-    keep = ~held
+    fold = np.array([zlib.crc32(f"{d}|fold".encode()) % 2 for d in doc])
 
-    def scores(table, out, bias):
-        return np.array([table[b].mean(0) for b in bags]) @ out + bias
-
-    for _ in range(2):
-        parts = _sgd([b for b, k in zip(bags, keep) if k], label[keep], len(langs))
-        z = scores(*parts)
+    def trained(use: np.ndarray):
+        table, out, bias = _sgd([b for b, u in zip(bags, use) if u], label[use], len(langs))
+        z = np.array([table[b].mean(0) for b in bags]) @ out + bias
         p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        # A common language gets into the sentences of every label, and its own probability falls with
-        # that; what counts is therefore how far the label stands behind the best language.
-        wrong = p.max(1) > 2 * p[np.arange(len(p)), label]
-        keep = ~held & ~wrong
-        if len(np.unique(label[keep])) < len(langs):
-            break
-    table, out, bias = parts
+        return (table, out, bias), z, p / p.sum(1, keepdims=True)
+
+    # Each half of the documents is judged by a model of the other half, which can't have learnt its
+    # wrong labels by heart. A common language gets into the sentences of every label, and its own
+    # probability falls with that; what counts is how far the label stands behind the best language.
+    wrong = np.zeros(len(doc), bool)
+    for half in (0, 1):
+        if len(np.unique(label[fold != half])) == len(langs):
+            _, _, p = trained(fold != half)
+            wrong |= (fold == half) & (p.max(1) > 2 * p[np.arange(len(p)), label])
+    keep = ~held & ~wrong
+    if len(np.unique(label[keep])) < len(langs):
+        keep = ~held
+    (table, out, bias), z, _ = trained(keep)
     test = held & ~wrong
     if not test.any():
-        test = ~wrong
+        test = ~wrong if not wrong.all() else np.ones(len(doc), bool)
     heats = np.geomspace(0.5, 4, 30)
 
     def loss(h):
