@@ -49,31 +49,34 @@ def _emit(codes: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int32))], ["code", "n"])
 
 
-def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted runs of pair codes of rows (ids sorted ascending, first position, last position)."""
-    held, count = [], 0
-    for batch in batches:
-        ids = batch.column("ids")
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-        ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
-        starts = ends - ids.value_lengths().to_numpy(zero_copy_only=False)
-        firsts = batch.column("first").to_numpy()
-        for s, e, f in zip(starts, ends, firsts):
-            row = flat[s:e]
-            m = len(row)
-            a = np.arange(f, min(f + SLICE, m - 1))
-            if not len(a):
-                continue
-            lens = m - 1 - a
-            left = np.repeat(row[a], lens)
-            at = np.arange(len(left)) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(a + 1, lens)
-            held.append(((left << np.uint64(32)) | row[at]).view(np.int64))
-            count += len(left)
-            if count >= RUN_CODES:
-                yield _emit(held)
-                held, count = [], 0
-    if held:
-        yield _emit(held)
+def _pair_runs(width: int):
+    """Sorted runs of pair codes of rows (ids sorted ascending, first position of ``width`` first items)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            ids = batch.column("ids")
+            sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
+            flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            ends = np.cumsum(sizes)
+            for s, e, f in zip(ends - sizes, ends, batch.column("first").to_numpy()):
+                row = flat[s:e]
+                m = len(row)
+                a = np.arange(f, min(f + width, m - 1))
+                if not len(a):
+                    continue
+                lens = m - 1 - a
+                left = np.repeat(row[a], lens)
+                at = np.arange(len(left)) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(a + 1, lens)
+                held.append(((left << np.uint64(32)) | row[at]).view(np.int64))
+                count += len(left)
+                if count >= RUN_CODES:
+                    yield _emit(held)
+                    held, count = [], 0
+        if held:
+            yield _emit(held)
+
+    return run
 
 
 def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +119,7 @@ def pair_counts(records: DataFrame, scope: str, record: str, items: str, least:
     numbered = numbered.repartitionByRange(parts, "scope", "record").select(
         "ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 2, F.lit(SLICE))).alias("first")
     )
-    runs = numbered.mapInArrow(_pair_runs, "code long, n int")
+    runs = numbered.mapInArrow(_pair_runs(SLICE), "code long, n int")
     summed = runs.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(_run_lengths, "code long, n_ab long")
     summed = summed.where(F.col("n_ab") >= least)
     side = lambda x: usable.select(F.col("id").alias(f"id_{x}"), F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}"))
