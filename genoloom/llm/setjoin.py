@@ -109,37 +109,57 @@ def _sketcher(depth: int):
 SKETCHED = "prefix long, deeper binary, class_id long, size int, has_list boolean"
 
 
+PAIRS = 1 << 21
+
+
 def _neighbours(threshold: float):
     """Pairs within runs of equal (prefix, block pair) of a sorted stream; runs are bounded by 2 * BLOCK."""
 
-    def pairs_of(run: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        run = run.sort_values("size", kind="stable")
-        ids, size, lists, side = (run[c].to_numpy() for c in ("class_id", "size", "has_list", "side"))
-        # sorted by size: the partners of i end where size passes size_i / threshold
-        stop = np.searchsorted(size, np.floor(size / threshold + 1e-9), side="right")
-        lens = np.maximum(stop - np.arange(len(size)) - 1, 0)
-        i = np.repeat(np.arange(len(size)), lens)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(lens) - lens, lens) + i + 1
-        use = (lists[i] | lists[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (ids[i] != ids[j])
-        a, b = ids[i[use]], ids[j[use]]
-        return np.minimum(a, b), np.maximum(a, b)
+    def pairs_of(run: np.ndarray, size: np.ndarray, ids: np.ndarray, lists: np.ndarray, side: np.ndarray) -> Iterator[pd.DataFrame]:
+        """``run`` numbers the runs of the rows; all runs at once, PAIRS pairs at a time."""
+        order = np.lexsort((size, run))
+        run, size, ids, lists, side = run[order], size[order].astype(np.int64), ids[order], lists[order], side[order]
+        # by size within a run: the partners of i end where size passes size_i / threshold
+        wide = int(size.max()) * 2 + 2
+        key = run * wide + size
+        most = np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), wide - 1)
+        lens = np.maximum(np.searchsorted(key, run * wide + most, side="right") - np.arange(len(key)) - 1, 0)
+        ends = np.cumsum(lens)
+        lo = 0
+        while lo < len(lens):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+            n = lens[lo:hi]
+            i = np.repeat(np.arange(lo, hi), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
+            use = (lists[i] | lists[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (ids[i] != ids[j])
+            a, b = ids[i[use]], ids[j[use]]
+            if len(a):
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            lo = hi
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
+
+        def columns(frame: pd.DataFrame, run: np.ndarray):
+            many = np.bincount(run)[run] > 1
+            return (run[many], *(frame[c].to_numpy()[many] for c in ("size", "class_id", "has_list", "side")))
+
         for frame in frames:
             if held is not None:
                 frame = pd.concat([held, frame], ignore_index=True)
             if not len(frame):
                 continue
             k, b = frame["prefix"].to_numpy(), frame["pair"].to_numpy()
-            cuts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (b[1:] != b[:-1])])
-            held = frame.iloc[cuts[-1] :]
-            out = [pairs_of(frame.iloc[s:e]) for s, e in zip(cuts[:-1], cuts[1:]) if e - s > 1]
-            if out:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])}).drop_duplicates()
+            new = np.r_[False, (k[1:] != k[:-1]) | (b[1:] != b[:-1])]
+            run = np.cumsum(new)
+            done = int(np.searchsorted(run, run[-1]))  # the last run may go on
+            held = frame.iloc[done:]
+            if done:
+                got = columns(frame.iloc[:done], run[:done])
+                if len(got[0]):
+                    yield from pairs_of(*got)
         if held is not None and len(held) > 1:
-            a, b = pairs_of(held)
-            yield pd.DataFrame({"a": a, "b": b})
+            yield from pairs_of(*columns(held, np.zeros(len(held), np.int64)))
 
     return scan
 
