@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from genoloom.functions import labels
 from genoloom.operators import sets, stats
+from genoloom.runtime import materialize
 
 
-def annotate_programs(members: DataFrame, reference: DataFrame, universe: int, fdr: float = 0.25) -> tuple[DataFrame, DataFrame]:
-    """(hits, programs) of (program, gene) against (set_name, gene), the background being the union of both.
+def annotation_hits(members: DataFrame, reference: DataFrame, universe: int) -> DataFrame:
+    """program, set_name, overlap, p_value, fold, fraction, fdr of all pairs with a common gene.
 
-    hits: program, set_name, overlap, p_value, fold, fraction, fdr of all pairs with a common
-    gene; pairs without one have p = 1 and count in the correction. programs: span, novel genes,
-    novelty fraction and the composite score.
+    members are (program, gene), reference (set_name, gene); the background is the union of both.
+    Pairs without a common gene have p = 1 and count in the correction.
     """
     n_sets = reference.select("set_name").distinct().count()
     pairs = sets.overlap(members, reference, ["program"], ["set_name"])
@@ -26,15 +26,20 @@ def annotate_programs(members: DataFrame, reference: DataFrame, universe: int, f
     step = F.least(F.col("p_value") * n_sets / rank, F.lit(1.0))
     pairs = pairs.withColumn("_s", step).withColumn("_r", rank)
     q_ = F.min("_s").over(part.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    hits = pairs.withColumn("fdr", q_).drop("_s", "_r", "jaccard")
-    significant = hits.where(F.col("fdr") <= fdr)
-    covered = significant.select("program", "set_name").join(reference, "set_name").select("program", "gene").distinct()
+    return pairs.withColumn("fdr", q_).drop("_s", "_r", "jaccard")
+
+
+def annotated_programs(members: DataFrame, reference: DataFrame, hits: DataFrame, fdr: float = 0.25) -> DataFrame:
+    """program, n_genes, pathway_span, n_novel, novelty, multi_pathway_score from the hits at the given rate."""
+    # read twice below, worked out once
+    significant = materialize(hits.where(F.col("fdr") <= fdr).select("program", "set_name"))
+    covered = significant.join(reference, "set_name").select("program", "gene").distinct()
     novel = members.join(covered, ["program", "gene"], "left_anti").groupBy("program").agg(F.count("*").alias("n_novel"))
     span = significant.groupBy("program").agg(F.count("*").alias("pathway_span"))
     out = sets.with_sizes(members, ["program"], "n_genes").join(span, "program", "left").join(novel, "program", "left")
     out = out.fillna(0, ["pathway_span", "n_novel"]).withColumn("novelty", F.col("n_novel") / F.col("n_genes"))
     score = F.col("pathway_span") * (1 - F.col("novelty")) + F.when(F.col("novelty") > 0.1, 0.5 * F.col("novelty")).otherwise(0.0)
-    return hits, out.withColumn("multi_pathway_score", score)
+    return out.withColumn("multi_pathway_score", score)
 
 
 def top_references(overlaps: DataFrame, n: int = 15) -> DataFrame:

@@ -25,16 +25,20 @@ def _lf(n: int) -> np.ndarray:
 
 @F.pandas_udf(DoubleType())
 def fisher_greater(k: pd.Series, size: pd.Series, query: pd.Series, background: pd.Series) -> pd.Series:
-    """P(X >= k) of the hypergeometric law; 1 where a margin is empty."""
-    out = np.ones(len(k))
+    """P(X >= k) of the hypergeometric law; 1 where a margin is empty. Equal tables of a batch are worked out once."""
+    tables = pd.DataFrame({"k": k, "m": size, "q": query, "n": background})
+    group = tables.groupby(["k", "m", "q", "n"], sort=False).ngroup()
     lf = _lf(int(background.max()) if len(background) else 0)
-    for i, (a, m, q, n) in enumerate(zip(k, size, query, background)):
-        if a > 0:
-            x = np.arange(a, min(m, q) + 1)
-            x = x[n - m - q + x >= 0]
-            logs = lf[m] - lf[x] - lf[m - x] + lf[n - m] - lf[q - x] - lf[n - m - q + x] - lf[n] + lf[q] + lf[n - q]
-            out[i] = min(1.0, float(np.exp(logs).sum()))
-    return pd.Series(out)
+    out = []
+    for a, m, q, n in tables.drop_duplicates().itertuples(index=False):
+        if a <= 0:
+            out.append(1.0)
+            continue
+        x = np.arange(a, min(m, q) + 1)
+        x = x[n - m - q + x >= 0]
+        logs = lf[m] - lf[x] - lf[m - x] + lf[n - m] - lf[q - x] - lf[n - m - q + x] - lf[n] + lf[q] + lf[n - q]
+        out.append(min(1.0, float(np.exp(logs).sum())))
+    return pd.Series(np.array(out)[group.to_numpy()] if len(out) else [], dtype="float64")
 
 
 def fold_columns(k: Column, size: Column, query: Column, background: Column) -> dict[str, Column]:

@@ -82,22 +82,22 @@ _ANNOTATE = f.with_(f.PROGRAMS, f.REFERENCES) + """, pg as (select distinct prog
 """
 
 
-def _annotated(s, d):
+def annotated_hits(s, d):
     members, refs = f.programs(s, d).select("program", "gene").distinct(), sets_of(s, d)
     universe = members.select("gene").union(refs.select("gene")).distinct().count()
-    return annotate.annotate_programs(members, refs, universe)
+    return members, refs, annotate.annotation_hits(members, refs, universe)
 
 
 @query(_ANNOTATE + "select program, set_name, k as overlap_n, round(p_value, 9) as p_value, round(fdr, 6) as fdr from h where fdr <= 0.25")
 def annotation_hits(s, d):
-    hits = _annotated(s, d)[0].where("fdr <= 0.25")
+    hits = annotated_hits(s, d)[2].where("fdr <= 0.25")
     return hits.select("program", "set_name", "overlap_n", F.round("p_value", 9).alias("p_value"), F.round("fdr", 6).alias("fdr"))
 
 
 @query(_ANNOTATE + """select program, n_genes, pathway_span, n_novel, round(n_novel / n_genes, 6) as novelty,
  round(pathway_span * (1 - n_novel / n_genes) + case when n_novel / n_genes > 0.1 then 0.5 * n_novel / n_genes else 0 end, 6) as multi_pathway_score from o""")
 def annotated_programs(s, d):
-    return _annotated(s, d)[1].withColumns({c: F.round(c, 6) for c in ("novelty", "multi_pathway_score")})
+    return annotate.annotated_programs(*annotated_hits(s, d)).withColumns({c: F.round(c, 6) for c in ("novelty", "multi_pathway_score")})
 
 
 _GATES = _DE + """, fe as (select set_name, gene, logfc, fdr from brands left join de using (gene)),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from genoloom.operators import discover, embed, evaluate
 from genoloom.plans import frames as f
-from genoloom.plans.q_annotate import _ANNOTATE, _annotated
+from genoloom.plans.q_annotate import _ANNOTATE, annotated_hits
 from genoloom.plans.q_discover import _ATT, _METHODS, K, attention, method_memberships
 from genoloom.plans.registry import query
 
@@ -92,7 +92,7 @@ def merged_programs(s, d):
 
 @query(_ANNOTATE + """select set_name, program, round(p_value, 9) as p_value, round(fdr, 6) as fdr, round(k * n / (m * q), 6) as fold, count(*) over (partition by set_name) as n_programs from h qualify row_number() over (partition by set_name order by round(p_value, 14), program) = 1""")
 def best_program_of_sets(s, d):
-    out = evaluate.best_program_of_sets(_annotated(s, d)[0].withColumn("p_value", F.round("p_value", 14)))
+    out = evaluate.best_program_of_sets(annotated_hits(s, d)[2].withColumn("p_value", F.round("p_value", 14)))
     return out.withColumns({"p_value": F.round("p_value", 9), "fdr": F.round("fdr", 6), "fold": F.round("fold", 6)})
 
 
