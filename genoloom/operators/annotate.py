@@ -33,7 +33,9 @@ def annotated_programs(members: DataFrame, reference: DataFrame, hits: DataFrame
     """program, n_genes, pathway_span, n_novel, novelty, multi_pathway_score from the hits at the given rate."""
     # read twice below, worked out once
     significant = materialize(hits.where(F.col("fdr") <= fdr).select("program", "set_name"))
-    covered = significant.join(reference, "set_name").select("program", "gene").distinct()
+    # only genes that program and set share: far fewer rows than the sets' whole memberships
+    shared = members.join(reference.select("set_name", "gene"), "gene")
+    covered = shared.join(significant, ["program", "set_name"], "left_semi").select("program", "gene").distinct()
     novel = members.join(covered, ["program", "gene"], "left_anti").groupBy("program").agg(F.count("*").alias("n_novel"))
     span = significant.groupBy("program").agg(F.count("*").alias("pathway_span"))
     out = sets.with_sizes(members, ["program"], "n_genes").join(span, "program", "left").join(novel, "program", "left")

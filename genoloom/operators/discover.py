@@ -14,13 +14,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoloom.runtime import materialize, release
+from genoloom.runtime import dense_ids, materialize, release
 
 
 def relabelled(df: DataFrame, label: str = "label") -> DataFrame:
     """Labels 0, 1, ... by falling size, ties by the smallest gene."""
     size = df.groupBy(label).agg(F.count("*").alias("n"), F.min("gene").alias("g"))
-    order = size.withColumn("_new", F.row_number().over(Window.orderBy(F.desc("n"), "g")) - 1).select(label, "_new")  # one row a cluster
+    order = dense_ids(size.orderBy(F.desc("n"), "g"), "_new").select(label, F.col("_new").cast("int").alias("_new"))
     return df.join(order, label).drop(label).withColumnRenamed("_new", label)
 
 

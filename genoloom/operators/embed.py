@@ -38,19 +38,24 @@ def program_scores(vectors: DataFrame, label: str = "label") -> DataFrame:
     """label, gene, cosine to the centroid of unit vectors, score (min-max within the label), position."""
     unit_v = vectors.select("gene", label, unit(F.col("v"), 1e-12).alias("u"))
     centre = element_mean(vectors, [label]).select(label, unit(F.col("v"), 1e-12).alias("c"))
-    df = unit_v.join(F.broadcast(centre), label).withColumn("cosine", dot(F.col("u"), F.col("c")))  # one row a cluster
+    df = unit_v.join(centre, label).withColumn("cosine", dot(F.col("u"), F.col("c")))
     part = Window.partitionBy(label)
     lo, hi = F.min("cosine").over(part), F.max("cosine").over(part)
     df = df.withColumn("score", F.when(hi - lo <= 1e-12, 1.0).otherwise((F.col("cosine") - lo) / (hi - lo)))
     return df.withColumn("position", F.row_number().over(part.orderBy(F.desc(F.round("score", 12)), "gene"))).drop("u", "c")
 
 
+#: Centroids that travel together; up to this many are broadcast, more are joined block by block.
+CENTROIDS = 1_000
+
+
 def centroid_cosines(vectors: DataFrame, label: str = "label") -> DataFrame:
     """gene, own label, label of a centroid, cosine: every gene against every centroid."""
-    centre = element_mean(vectors, [label]).select(F.col(label).alias("centroid"), unit(F.col("v")).alias("c"))
-    # the centroids are as many as there are clusters; they go to every task as one array
-    every = centre.agg(F.collect_list(F.struct("centroid", "c")).alias("cs"))
-    df = vectors.select("gene", label, unit(F.col("v")).alias("u")).join(F.broadcast(every)).select("gene", label, "u", F.explode("cs").alias("k"))
+    centre = materialize(element_mean(vectors, [label]).select(F.col(label).alias("centroid"), unit(F.col("v")).alias("c")))
+    blocks = max(1, -(-centre.count() // CENTROIDS))
+    packed = centre.groupBy(F.pmod(F.xxhash64("centroid"), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(F.struct("centroid", "c")).alias("cs"))
+    own = vectors.select("gene", label, unit(F.col("v")).alias("u"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    df = own.join(F.broadcast(packed) if blocks == 1 else packed, "_b").select("gene", label, "u", F.explode("cs").alias("k"))
     return df.select("gene", label, F.col("k.centroid").alias("centroid"), dot(F.col("u"), F.col("k.c")).alias("cosine"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from genoloom.runtime import dense_ids
+
 Z95 = 1.959963984540054
 
 _log_factorials = np.zeros(1)
@@ -80,6 +82,29 @@ def bh(df: DataFrame, p: str, out: str, groups: list[str] | None = None, ties: l
     return df.withColumn(out, F.when(F.col("_ok").isNotNull(), q)).drop("_ok", "_n", "_r")
 
 
+def bh_distributed(df: DataFrame, p: str, out: str, block: int = 100_000) -> DataFrame:
+    """Benjamini-Hochberg over a whole table without a one-task window.
+
+    A global sort numbers the p-values; the smallest step from a place to the end is the smaller
+    of that within the place's block and that of the later blocks, of which there are few.
+    """
+    finite = F.col(p).isNotNull() & ~F.isnan(p)
+    ok = dense_ids(df.where(finite).orderBy(p), "_r", 1)
+    n = ok.agg(F.max("_r")).first()[0]
+    rest = df.where(~finite | F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
+    if not n:
+        return rest
+    ok = ok.withColumn("_s", F.col(p) * F.lit(n) / F.col("_r")).withColumn("_b", F.floor((F.col("_r") - 1) / block).cast("int"))
+    low, later = [], float("inf")
+    for b, m in sorted(ok.groupBy("_b").agg(F.min("_s")).collect(), reverse=True):  # one row for each ``block`` rows
+        low.append((b, later))
+        later = min(later, m)
+    table = df.sparkSession.createDataFrame(low, "_b int, _later double")
+    back = Window.partitionBy("_b").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.min("_s").over(back), F.col("_later"), F.lit(1.0))
+    return ok.join(table, "_b").withColumn(out, q).select(*df.columns, out).unionByName(rest)
+
+
 def storey(df: DataFrame, p: str, out: str) -> DataFrame:
     """Storey q-values: pi0 from the least-squares cubic over lambda 0.05..0.90 at its last point.
 
@@ -89,7 +114,7 @@ def storey(df: DataFrame, p: str, out: str) -> DataFrame:
     lam = np.arange(0.05, 0.95, 0.05)
     ok = df.where(F.col(p).isNotNull() & ~F.isnan(p))
     row = ok.agg(F.count("*").alias("n"), *[F.count(F.when(F.col(p) > float(x), 1)).alias(f"c{i}") for i, x in enumerate(lam)]).first()
-    df = bh(df, p, out)
+    df = bh_distributed(df, p, out)
     if row["n"] < 10:
         return df
     pi = np.array([row[f"c{i}"] / (row["n"] * (1 - x)) for i, x in enumerate(lam)])

@@ -161,6 +161,13 @@ def bh_grouped(s, d):
     return _r(out, "q", nudge=1e-9)
 
 
+@query(f.with_(f.CONTEXT) + """, x as (select *, count(*) over () as n, row_number() over (order by p_value) as r from context where p_value is not null)
+select run_id, program, gene, p_value, round(least(1.0, min(p_value * n / r) over (order by r desc)) + 1e-9, 6) as q from x union all select run_id, program, gene, p_value, null from context where p_value is null""")
+def bh_whole(s, d):
+    out = stats.bh_distributed(f.context(s, d).select("run_id", "program", "gene", "p_value"), "p_value", "q")
+    return _r(out, "q", nudge=1e-9)
+
+
 @query()
 def storey_qvalues(s, d):
     out = stats.storey(f.context(s, d).select("run_id", "program", "gene", "p_value"), "p_value", "q")

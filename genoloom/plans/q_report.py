@@ -1,7 +1,5 @@
 """Report frames, comparison, text formats, streaming."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from genoloom.operators import report, sets
@@ -10,7 +8,7 @@ from genoloom.plans.q_annotate import _SCORE, _SOURCE, _LABEL
 from genoloom.plans.q_expression import _DE, de_rows
 from genoloom.plans.q_sets import _OVERLAP, _overlap
 from genoloom.plans.registry import query
-from genoloom.runtime import shared_dir
+from genoloom.runtime import scratch_path
 from genoloom.sources import gmt
 from genoloom.streaming import context as stream
 
@@ -144,21 +142,17 @@ def _positioned(s, d):
     return df.select("set_name", (F.row_number().over(Window.partitionBy("set_name").orderBy("p", "gene")) - 1).alias("pos"), "gene")
 
 
-def _scratch(s) -> str:
-    return f"{shared_dir(s)}/genoloom-text-{uuid.uuid4().hex}"
-
-
 @query(f.with_(_SETPOS) + "select set_name, set_name as description, pos::int as pos, gene from sp")
 def gmt_round_trip(s, d):
     """The reference sets written as GMT and read again."""
-    path = _scratch(s)
+    path = scratch_path(s)
     gmt.write_gmt(_positioned(s, d), path)
     return gmt.read_gmt(s, path)
 
 
 @query(f.with_(_SETPOS) + "select set_name, set_name as description, pos::int as pos, gene from sp")
 def gmx_round_trip(s, d):
-    path = _scratch(s)
+    path = scratch_path(s)
     gmt.write_gmx(_positioned(s, d), path)
     return gmt.read_gmx(s, path)
 
@@ -168,7 +162,7 @@ select set_name, (row_number() over (partition by set_name order by weight desc,
 def weighted_gmt_round_trip(s, d):
     w = f.load(s, d, "gene_set").select("set_name", f.clean_gene("gene").alias("gene"), F.coalesce(F.nanvl("weight", F.lit(1.0)), F.lit(1.0)).alias("weight"))
     w = w.where("set_name is not null and gene is not null").groupBy("set_name", "gene").agg(F.max("weight").alias("weight"))
-    path = _scratch(s)
+    path = scratch_path(s)
     gmt.write_weighted_gmt(w, path)
     return gmt.read_weighted_gmt(s, path).withColumn("weight", F.round("weight", 5))
 
@@ -187,7 +181,7 @@ def universe_restricted(s, d):
 def streamed_counts(s, d):
     """The events as a stream, counted by hour and context; late rows are kept by a wide watermark."""
     events = s.readStream.schema(f.load(s, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    path = _scratch(s)
+    path = scratch_path(s)
     # complete output keeps the last open windows too; a stream without end would append
     counts = stream.windowed_counts(events, "1 hour", "3650 days")
     stream.run_to_table(counts, path)

@@ -73,14 +73,20 @@ def _clean() -> None:
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once into the shared folder and return the scan of it: the lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/genoloom-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.option("compression", codec).parquet(path)
-    _written.setdefault(spark, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._genoloom_path = path
     return out
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is deleted when Python ends."""
+    path = f"{shared_dir(spark)}/genoloom-{uuid.uuid4().hex}"
+    _written.setdefault(spark, set()).add(path)
+    return path
+
+
 def release(*frames: DataFrame) -> None:
     """Delete written intermediates that no plan reads any more."""
     for df in frames:

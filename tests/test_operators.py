@@ -91,6 +91,17 @@ def test_bh_families_and_missing_values(spark):
     assert whole["m1", 0.01] == pytest.approx(0.04 / 3) and whole["m1", None] is None
 
 
+def test_distributed_bh_equals_the_window(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(np.round(p, 3))) for i, p in enumerate(rng.random(500) ** 2)] + [(900, None), (901, float("nan"))]
+    df = frame(spark, rows, "i int, p double")
+    want = dict(one(stats.bh(df, "p", "q"), "i", "q"))
+    for block in (7, 100_000):
+        got = dict(one(stats.bh_distributed(df, "p", "q", block), "i", "q"))
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    assert stats.bh_distributed(df.where("i >= 900"), "p", "q").count() == 2
+
+
 def test_storey_is_at_most_bh(spark):
     rng = np.random.default_rng(0)
     df = frame(spark, [(float(p),) for p in np.r_[rng.random(80), rng.random(40) * 0.01]], "p double")
