@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from genoloom.operators import discover, embed, evaluate
 from genoloom.plans import frames as f
+from genoloom.plans import pipeline
 from genoloom.plans.q_annotate import _ANNOTATE, annotated_hits
 from genoloom.plans.q_discover import _ATT, _METHODS, K, attention, method_memberships
 from genoloom.plans.registry import query
@@ -110,3 +111,19 @@ def voted_k(s, d):
 @query()
 def refit_stability(s, d):
     return evaluate.refit_stability(f.embeddings(s, d).select("gene", "v"), lambda v: discover.kmeans_programs(v, 10, starts=1))
+
+
+@query(_METHODS + f""", {f.REFERENCES}, rs as (select distinct set_name, gene from refs), rg as (select distinct gene from rs), m as (select distinct method, program, gene from mm), z as (select method, program, count(*) as n from m group by 1, 2),
+ mk as (select a.method, a.program as p, b.program as q, count(*) as k from m a join m b on a.method = b.method and a.gene = b.gene and a.program < b.program group by 1, 2, 3),
+ rd as (select mk.method, sum(k / (x.n + y.n - k)) as t from mk join z x on x.method = mk.method and x.program = p join z y on y.method = mk.method and y.program = q group by 1), c as (select method, count(*) as n_programs from z group by 1),
+ cv as (select method, count(distinct m.gene) / (select count(*) from rg) as coverage from m semi join rg on rg.gene = m.gene group by 1), nv as (select method, 1 - count(rg.gene) / count(*) as novelty from m left join rg on rg.gene = m.gene group by 1),
+ sp as (select method, avg(s) as specificity from (select method, program, avg(case when k = 1 then 1.0::double else 0 end) as s from (select *, count(*) over (partition by method, gene) as k from m) group by 1, 2) group by 1),
+ sb as (select set_name, count(*) as b from rs group by 1), bk as (select method, program, set_name, count(*) as k from m join rs using (gene) group by 1, 2, 3), bj as (select method, program, max(k / (n + b - k)) as j from bk join z using (method, program) join sb using (set_name) group by 1, 2),
+ al as (select z.method, avg(coalesce(j, 0)) as alignment from z left join bj using (method, program) group by 1)
+select c.method, n_programs, round(case when n_programs < 2 then 0 else coalesce(t, 0) / (n_programs * (n_programs - 1) / 2) end, 8) as redundancy, round(novelty, 6) as novelty, round(specificity, 6) as specificity, round(coalesce(coverage, 0), 6) as coverage, round(alignment, 6) as alignment
+ from c left join rd using (method) join nv using (method) join sp using (method) left join cv using (method) join al using (method)""")
+def method_table(s, d):
+    """Every method's programs held against the reference sets."""
+    m, _ = method_memberships(s, d)
+    out = pipeline.method_table(m, f.references(s, d))
+    return out.withColumns({c: F.round(c, 8 if c == "redundancy" else 6) for c in ("redundancy", "novelty", "specificity", "coverage", "alignment")})
