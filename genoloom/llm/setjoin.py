@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.runtime import SPACES, clean_gene, materialize, pick
+from genoloom.runtime import SPACES, clean_gene, dense_ids, materialize, pick
 
 TREES, DEPTH, SEED = 48, 6, 20_240_611
 #: Members of one prefix that one task compares.
@@ -57,11 +57,8 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(class_id, items, has_list) of the distinct non-empty sets, and (id, is_list, class_id) of all members."""
     key = F.sha2(F.concat_ws("\x1f", "items"), 256)
     kept = materialize(sets.where(F.size("items") > 0).withColumn("key", key))
-    # a class is named by its smallest (kind, id), which no other class has
-    classes = kept.groupBy("key").agg(
-        F.min(F.col("id") * 2 + F.col("is_list").cast("long")).alias("class_id"), F.max("is_list").alias("has_list"), F.first("items").alias("items")
-    )
-    classes = materialize(classes)
+    classes = kept.groupBy("key").agg(F.max("is_list").alias("has_list"), F.first("items").alias("items"))
+    classes = dense_ids(classes, "class_id")
     members = kept.join(classes.select("key", "class_id"), "key").select("id", "is_list", "class_id")
     return classes.select("class_id", "has_list", "items"), members
 

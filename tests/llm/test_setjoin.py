@@ -53,6 +53,13 @@ def test_summary_counts_links_between_different_sets(spark):
     assert out == {1: (2, 1), 2: (2, 1), 3: (1, 1), 4: (1, 0)}
 
 
+def test_ids_of_any_size(spark):
+    big = 2**63 - 1
+    lists = [(big, "a,b", "", "", 0), (-big, "a,b", "", "", 0), (big - 1, "a,b,c", "", "", 0)]
+    got = setjoin.similar_sets(spark.createDataFrame(lists, LISTS), spark.createDataFrame([], REF)).collect()
+    assert {(r.id_a, r.id_b) for r in got} == {(-big, big), (-big, big - 1), (big - 1, big)}
+
+
 def test_empty(spark):
     assert setjoin.similar_sets(spark.createDataFrame([], LISTS), spark.createDataFrame([], REF)).count() == 0
 
