@@ -34,11 +34,11 @@ def stability_summary(s, d):
     return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
 
 
-@query(_COHORT + """ select fb.cohort, fb.run, fb.program, round(fb.j, 6) as best_jaccard, o.other, o.k as overlap_n from fb left join (select * from o qualify row_number() over (partition by cohort, run, program order by round(j, 12) desc, other) = 1) o using (cohort, run, program)""")
+@query(_COHORT + """ select fb.cohort, fb.run, fb.program, round(fb.j, 6) as best_jaccard, o.other, coalesce(o.k, 0) as overlap_n from fb left join (select * from o qualify row_number() over (partition by cohort, run, program order by round(j, 12) desc, other) = 1) o using (cohort, run, program)""")
 def robustness_best_match(s, d):
     base, variant = cohort_sides(s, d)
     out = validate.directional_best(base, variant.withColumnRenamed("program", "other"), ["cohort", "run"], "program", "other")
-    return out.withColumn("best_jaccard", F.round("best_jaccard", 6))
+    return out.withColumns({"best_jaccard": F.round("best_jaccard", 6), "overlap_n": F.coalesce("overlap_n", F.lit(0))})
 
 
 @query("""with x as (select *, coalesce(baseline_claim_supported, false) as b, coalesce(perturbation_claim_supported, false) as p from robustness_program_matches where perturbation_label is not null)
