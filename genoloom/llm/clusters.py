@@ -11,9 +11,12 @@ K_FACTOR times the root of the number of classes, both the passes and the cells
 A k-means cell alone would cut through groups of like records at its border, so every class goes
 into the PROBES cells of its nearest centroids. Within a cell, records of Jaccard >= ``threshold``
 are found exactly (prefix filter, then exact intersection), and a cell gives only the links that
-span its groups. Cells of more than BLOCK entries are compared in pairs of blocks. Groups that
-are connected over cells, through a chain too, are one cluster. The links come to no driver:
-components are contracted with DataFrame joins, each round written to the shared folder.
+span its groups. Pairs that share no cell are found by a second, complete search: two sets at the
+threshold share an item of their prefixes in one common order, so classes of unlike groups meet
+by the buckets of their prefix items. Cells and buckets of more than BLOCK entries are compared
+in pairs of blocks. Groups that are connected over cells or buckets, through a chain too, are one
+cluster. The links come to no driver: components are contracted with DataFrame joins, each round
+written to the shared folder.
 
 Defined cases: rows with a null or blank name or item do not count, repeats count once; records
 without items have no cluster; records with equal sets are in one cluster; a record like no
@@ -36,6 +39,7 @@ DIMS, WEIGHTS = 256, 1 << 16
 K_FACTOR, ROUNDS, LLOYD, PROBES, SEED = 4.0, 2, 3, 8, 97
 BLOCK = 3_000
 ROWS = 4_096
+SLOTS, BUCKET = 1 << 18, 1_000
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -205,10 +209,11 @@ def _min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def spanning_links(sizes: np.ndarray, items: np.ndarray, threshold: float) -> np.ndarray:
+def spanning_links(sizes: np.ndarray, items: np.ndarray, threshold: float, start: np.ndarray | None = None) -> np.ndarray:
     """For each set the smallest set of its group; groups are connected by Jaccard >= threshold.
 
-    ``items`` holds the sets one after another. Exact: two sets at the threshold share an item
+    ``items`` holds the sets one after another; ``start`` is a grouping known before (the smallest
+    set of each set's group). Exact: two sets at the threshold share an item
     among the size - ceil(threshold * size) + 1 first of each in one common order (rarest first).
     """
     n = len(sizes)
@@ -227,7 +232,7 @@ def spanning_links(sizes: np.ndarray, items: np.ndarray, threshold: float) -> np
     pr, pi = rec[kept], r[kept]
     by = np.lexsort((pr, pi))
     pr, pi = pr[by], pi[by]
-    label = np.arange(n)
+    label = np.arange(n) if start is None else start
     if not len(pi):
         return label
     cuts = np.flatnonzero(np.r_[True, np.diff(pi) > 0])
@@ -251,9 +256,10 @@ def spanning_links(sizes: np.ndarray, items: np.ndarray, threshold: float) -> np
         return np.stack([a[good], b[good]])
 
     # first every posting's first record against the others: this settles large groups in linear time
-    edges = [np.zeros((2, 0), np.int64)]
+    edges = [np.zeros((2, 0), np.int64) if start is None else np.stack([np.arange(n), start])]
     first = np.repeat(pr[cuts], lens)
-    a, b = first[first != pr], pr[first != pr]
+    apart = label[first] != label[pr]
+    a, b = first[apart], pr[apart]
     edges.append(verified(*np.unique(np.stack([a, b]), axis=1)))
     label = _min_labels(n, *np.concatenate(edges, axis=1))
     # then all pairs of a posting that are not yet in one group
@@ -302,6 +308,78 @@ def _cell_links(threshold: float):
     return run
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, threshold: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches with the row and the hash of each prefix item, rarest first by the buckets' weights, then by hash."""
+    for batch in batches:
+        hashes = batch.column("hashes")
+        sizes = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        h = hashes.flatten().to_numpy()
+        rec = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((h, -weights[(h.view(np.uint64) % np.uint64(WEIGHTS)).astype(np.int64)], rec))
+        place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = place < (sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1)[rec]
+        yield batch, rec[kept], h[order][kept]
+
+
+def _slot(h: np.ndarray, n: int) -> np.ndarray:
+    return (_mix(h.view(np.uint64), SEED) % np.uint64(n)).astype(np.int64)
+
+
+def _bucket_links(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        roots = table.column("root").to_numpy()
+        if table.num_rows < 2 or (roots == roots[0]).all():
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        order = np.lexsort((table.column("class_id").to_numpy(), roots))
+        hashes, roots = table.column("hashes").chunk(0).take(pa.array(order)), roots[order]
+        known = np.searchsorted(roots, roots)
+        label = spanning_links(hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), hashes.flatten().to_numpy(), threshold, known)
+        u, v = roots, roots[label]
+        pairs = np.unique(np.stack([u[u != v], v[u != v]]), axis=1)
+        return pa.table({"u": pairs[0], "v": pairs[1]})
+
+    return run
+
+
+def missing_links(classes: DataFrame, weights, threshold: float) -> DataFrame:
+    """u, v: roots of (class_id, hashes, root) that a pair of classes at the threshold connects; complete.
+
+    Prefix items whose slot holds classes of one root only connect nothing and are left out.
+    """
+
+    def slots(batches):
+        for batch, row, h in _prefixes(batches, weights.value, threshold):
+            root = batch.column("root").to_numpy()[row]
+            slot = _slot(h, SLOTS)
+            order = np.argsort(slot, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(slot[order]) > 0]) if len(slot) else np.zeros(0, np.int64)
+            low, high = (f.reduceat(root[order], cuts) if len(cuts) else cuts for f in (np.minimum, np.maximum))
+            n = np.diff(np.r_[cuts, len(slot)])
+            yield pa.RecordBatch.from_arrays([pa.array(slot[order][cuts]), pa.array(n), pa.array(low), pa.array(high)], ["slot", "n", "low", "high"])
+
+    found = classes.mapInArrow(slots, "slot long, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    mixed = found.where("low < high").select("slot", "n").collect()  # at most SLOTS rows
+    if not mixed:
+        return classes.sparkSession.createDataFrame([], "u long, v long")
+    open_ = np.zeros(SLOTS, bool)
+    open_[[r["slot"] for r in mixed]] = True
+    open_ = classes.sparkSession.sparkContext.broadcast(open_)
+    n_buckets = -(-sum(r["n"] for r in mixed) // BUCKET)
+
+    def buckets(batches):
+        for batch, row, h in _prefixes(batches, weights.value, threshold):
+            use = open_.value[_slot(h, SLOTS)]
+            row, bucket = np.unique(np.stack([row[use], _slot(h[use], n_buckets)]), axis=1)
+            taken = pa.array(row)
+            columns = [batch.column(c).take(taken) for c in ("class_id", "hashes", "root")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(bucket)], ["class_id", "hashes", "root", "bucket"])
+
+    entries = classes.mapInArrow(buckets, "class_id long, hashes array<long>, root long, bucket long")
+    entries = blocked(entries, "bucket", "class_id", BLOCK)
+    return entries.select("bucket", "pair", "class_id", "hashes", "root").groupBy("bucket", "pair").applyInArrow(_bucket_links(threshold), "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of all nodes that have a link (u, v)."""
     edges = materialize(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
@@ -350,9 +428,11 @@ class Clustering:
         self.classes = assigned
         entries = blocked(assigned.select("class_id", "hashes", F.explode("cells").alias("cell")), "cell", "class_id", BLOCK)
         links = entries.select("cell", "pair", "class_id", "hashes").groupBy("cell", "pair").applyInArrow(_cell_links(threshold), "u long, v long")
-        roots = components(links)
-        joined = keyed.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
-        self.members = joined.select("record", "class_id", F.coalesce("root", "class_id").alias("cluster_id"))
+        near = components(links).withColumnRenamed("node", "class_id")
+        rooted = materialize(assigned.select("class_id", "hashes").join(near, "class_id", "left").withColumn("root", F.coalesce("root", "class_id")))
+        far = components(missing_links(rooted, self.kmeans.weights, threshold)).toDF("root", "far")
+        roots = rooted.select("class_id", "root").join(far, "root", "left").select("class_id", F.coalesce("far", "root").alias("cluster_id"))
+        self.members = keyed.join(roots, "class_id").select("record", "class_id", "cluster_id")
 
 
 def program_sets(programs: DataFrame) -> DataFrame:

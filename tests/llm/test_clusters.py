@@ -53,6 +53,18 @@ def test_large_cells_are_compared_in_blocks(spark, monkeypatch):
     assert got == brute(sets)
 
 
+def test_pairs_that_share_no_cell(spark):
+    # 10 genes that a third of all programs hold and 5 own rare ones each: Jaccard 0.5, hardly any cosine
+    rng, sets = random.Random(11), {}
+    common = [f"C{i}" for i in range(30)]
+    for i in range(300):
+        shared = rng.sample(common, 10)
+        for side in "ab":
+            sets[f"p{i:03d}{side}"] = {*shared, *(f"R{i}{side}{j}" for j in range(5))}
+    got = {tuple(r) for r in clusters.cluster_pairs(frame(spark, sets)).collect()}
+    assert got == brute(sets) and len(got) >= 300
+
+
 def test_dirty_rows(spark):
     rows = [
         (1, " a\t", "x1"), (1, "a", " X1 "), (1, "a", "x2"), (1, "b", "X1"), (1, "b", "x2"), (1, None, "x1"), (1, "c", None), (1, "d", "  "), (1, "e", "y"),
