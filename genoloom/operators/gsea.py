@@ -7,10 +7,16 @@ genes x sets is ever formed, only the hits.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.operators.stats import bh, cohens_d
+from genoloom.runtime import materialize
 
 
 def ranking(scores: DataFrame, lists: list[str], gene: str = "gene", score: str = "score") -> DataFrame:
@@ -84,40 +90,130 @@ def leading_edge(hit: DataFrame, keys: list[str]) -> DataFrame:
     return edge.select(*keys, "n_leading", F.array_join(F.col("x.gene"), ",").alias("leading_genes"))
 
 
-def permuted_ranks(ranked: DataFrame, lists: list[str], n_perm: int, seed: int = 42) -> DataFrame:
-    """For each list and permutation, a rank for every gene: the order of md5(seed|perm|gene).
-
-    One permutation of a list serves all sets, so sets see one and the same null.
-    """
-    perms = ranked.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), "gene"))
-    order = Window.partitionBy(*lists, "perm").orderBy(key, "gene")
-    return perms.select(*lists, "perm", "gene", "n_genes", F.row_number().over(order).alias("perm_rank"))
-
-
-def preranked(ranked: DataFrame, sets: DataFrame, lists: list[str], set_key: str, n_perm: int, least: int = 3, seed: int = 42) -> DataFrame:
+CHUNK_ROWS, PERM_BLOCKS = 1_000_000, 20
+
+
+def permutations(n_perm: int, n_sets: int) -> int:
+    """More than 100 sets get 10 permutations a set, up to 10,000: else no p-value passes the correction."""
+    return max(n_perm, min(10 * n_sets, 10_000)) if n_sets > 100 else n_perm
+
+
+def _orders(genes: list[str], perm: int, seed: int) -> np.ndarray:
+    """The place of each gene in the order of md5(seed|perm|gene)."""
+    head = hashlib.md5(f"{seed}|{perm}|".encode())
+    digests = []
+    for g in genes:
+        h = head.copy()
+        h.update(g)
+        digests.append(h.digest())
+    halves = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
+    place = np.empty(len(genes), np.int64)
+    place[np.lexsort((halves[:, 1], halves[:, 0]))] = np.arange(len(genes))
+    return place
+
+
+def _null(n_perm: int, seed: int):
+    """For a chunk of packed lists and a block of permutations: same-sign counts and sums of each set."""
+
+    def counted(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        block = table.column("block")[0].as_py()
+        ranked, hit = (table.column(c).combine_chunks() for c in ("genes", "hits"))
+        n_genes = ranked.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(n_genes) - n_genes
+        coded = pc.dictionary_encode(ranked.flatten().field("gene"))
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        genes = [g.encode() for g in coded.dictionary.to_pylist()]
+        code, score = coded.indices.to_numpy().astype(np.int64), ranked.flatten().field("score").to_numpy()
+        owner = np.repeat(np.arange(len(n_genes)), n_genes)
+        # sets by falling size, hits of a set in a row
+        flat, size = hit.flatten(), hit.value_lengths().to_numpy(zero_copy_only=False)
+        sets = flat.field("size").to_numpy().astype(np.int64)
+        by = np.argsort(-sets, kind="stable")
+        of = np.repeat(np.arange(len(size)), size)[by]
+        m, es = sets[by], flat.field("es").to_numpy()[by]
+        places = flat.field("places").take(pa.array(by))
+        at = places.flatten().field("rank_no").to_numpy().astype(np.int64) - 1 + np.repeat(start[of], m)
+        weight = places.flatten().field("weight").to_numpy()
+        n, first = n_genes[of], np.cumsum(m) - m
+        row = np.repeat(np.arange(len(m)), m)
+        base = np.repeat(start[of], m)
+        live = [int(np.searchsorted(-m, -k, side="left")) for k in range(int(m[0]))]  # sets of more than k hits
+        wide = n > m
+        gap = np.where(wide, n - m, 1)
+        up, big = ~(es < 0), np.round(np.abs(es), 12)
+        n_same, n_extreme, total = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64), np.zeros(len(m))
+        width = int(n_genes.max()) + 1
+        for perm in range(1 + block, n_perm + 1, PERM_BLOCKS):
+            order = np.argsort(owner * len(genes) + _orders(genes, perm, seed)[code])
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order)) - start[owner] + 1
+            r = rank[at]
+            o = np.argsort(row * width + r)
+            r = r[o]
+            w = score[base + r - 1] * weight[o]
+            cum, tot = np.empty(len(w)), np.zeros(len(m))
+            for k, c in enumerate(live):
+                ix = first[:c] + k
+                tot[:c] += w[ix]
+                cum[ix] = tot[:c]
+            end = np.where(tot == 0, 0.0, 1.0) - wide
+            tot = np.where(tot == 0, 1.0, tot)
+            high, low = np.full(len(m), -np.inf), np.minimum(end, 0.0)
+            for k, c in enumerate(live):
+                ix = first[:c] + k
+                miss = np.where(wide[:c], (r[ix] - (k + 1)) / gap[:c], 0.0)
+                np.maximum(high[:c], cum[ix] / tot[:c] - miss, out=high[:c])
+                np.fmin(low[:c], np.where(r[ix] > 1, (cum[ix] - w[ix]) / tot[:c] - miss, 0.0), out=low[:c])
+            null = np.where(wide, np.where(np.round(np.abs(high), 12) < np.round(np.abs(low), 12), low, high), 0.0)
+            same = ~(null < 0) == up
+            n_same += same
+            n_extreme += same & (np.isnan(null) | (np.round(np.abs(null), 12) >= big))
+            total += np.where(same, np.abs(null), 0.0)
+        return pa.table({"list": table.column("list").combine_chunks().take(pa.array(of)), "set": flat.field("set").take(pa.array(by)), "n_same": n_same, "n_extreme": n_extreme, "total": total})
+
+    def run(table: pa.Table) -> pa.Table:
+        with np.errstate(invalid="ignore"):  # infinite scores give NaN, which counts as the largest number as in SQL
+            return counted(table)
+
+    return run
+
+
+def preranked(
+    ranked: DataFrame, sets: DataFrame, lists: list[str], set_key: str, n_perm: int = 1000, least: int = 3, seed: int = 42, weight: str | None = None, raised: bool = True
+) -> DataFrame:
     """lists..., set, n_hits, es, nes, p_value, fdr.
 
-    The permutation moves the set's genes to other places of the ranking, whose scores stay.
-    p is the share of the same-sign null that is as extreme, at least 1 / (n_perm + 1); NES is
-    ES over the mean size of the same-sign null (1 where that is empty).
+    The permutation moves the set's genes to other places of the ranking, whose scores stay: for
+    each list and permutation the order of md5(seed|perm|gene), one for all sets. A membership
+    ``weight`` moves with its gene. p is the share of the same-sign null that is as extreme, at
+    least 1 / (n_perm + 1); NES is ES over the mean size of the same-sign null (where that is
+    empty or 0: ES, and 0 with weights). Without weights n_perm is raised for more than 100 sets
+    (see ``permutations``), unless ``raised`` is false.
     """
     keys = [*lists, set_key]
-    hit = hits(ranked, sets, set_key, least)
-    observed = enrichment_scores(hit, keys)
-    place = permuted_ranks(ranked, lists, n_perm, seed)
-    weight = ranked.select(*lists, F.col("rank_no").alias("perm_rank"), F.abs("score").alias("w"))
-    moved = hit.select(*keys, "gene", "n_hits").join(place, [*lists, "gene"]).join(weight, [*lists, "perm_rank"])
-    null = enrichment_scores(moved, [*keys, "perm"], "perm_rank", all_hits_zero=True).select(*keys, F.col("es").alias("null_es"))
-    both = null.join(observed, keys)
-    same = F.when(F.col("es") >= 0, F.col("null_es") >= 0).otherwise(F.col("null_es") < 0)
-    extreme = same & (F.round(F.abs("null_es"), 12) >= F.round(F.abs("es"), 12))
-    out = both.groupBy(*keys, "n_hits", "es").agg(
-        F.count(F.when(same, 1)).alias("n_same"), F.count(F.when(extreme, 1)).alias("n_extreme"), F.avg(F.when(same, F.abs("null_es"))).alias("mean_null")
-    )
+    if raised and weight is None:
+        n_perm = permutations(n_perm, sets.select(set_key).distinct().count())
+    hit = hits(ranked, sets, set_key, least, weight)
+    observed = materialize(enrichment_scores(hit, keys).select(F.struct(*lists).alias("list"), F.col(set_key).alias("set"), "n_hits", "es"))
+    own = hit.select(F.struct(*lists).alias("list"), F.col(set_key).alias("set"), F.struct("rank_no", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight")).alias("place"))
+    own = own.groupBy("list", "set").agg(F.collect_list("place").alias("places")).join(observed, ["list", "set"])
+    own = own.groupBy("list").agg(F.collect_list(F.struct("set", "es", F.col("n_hits").alias("size"), "places")).alias("hits"))
+    packed = ranked.select(F.struct(*lists).alias("list"), F.struct("rank_no", F.col("gene").cast("string").alias("gene"), F.abs("score").cast("double").alias("score")).alias("g"))
+    packed = packed.groupBy("list").agg(F.array_sort(F.collect_list("g")).alias("genes")).join(own, "list")
+    packed = materialize(packed)
+    rows = packed.agg(F.sum(F.size("genes"))).first()[0] or 0
+    chunk = F.pmod(F.xxhash64("list"), F.lit(-(-rows // CHUNK_ROWS) or 1)).alias("chunk")
+    spread = packed.select("list", "genes", "hits", chunk, F.explode(F.sequence(F.lit(0), F.lit(min(n_perm, PERM_BLOCKS) - 1))).alias("block"))
+    spread = spread.repartition(4 * PERM_BLOCKS, "chunk", "block")
+    kinds = {c: f.dataType.simpleString() for c, f in zip(("list", "set"), (observed.schema["list"], observed.schema["set"]))}
+    null = spread.groupBy("chunk", "block").applyInArrow(_null(n_perm, seed), f"list {kinds['list']}, set {kinds['set']}, n_same long, n_extreme long, total double")
+    null = null.groupBy("list", "set").agg(F.sum("n_same").alias("n_same"), F.sum("n_extreme").alias("n_extreme"), F.sum("total").alias("total"))
+    out = observed.join(null, ["list", "set"])
     p = F.greatest(F.coalesce(F.try_divide(F.col("n_extreme"), F.col("n_same")), F.lit(0.0)), F.lit(1.0 / (n_perm + 1)))
-    scale = F.when(F.coalesce("mean_null", F.lit(0.0)) > 0, F.col("mean_null")).otherwise(1.0)
-    out = out.select(*keys, "n_hits", "es", (F.col("es") / scale).alias("nes"), p.alias("p_value"))
+    mean = F.coalesce(F.try_divide("total", "n_same"), F.lit(0.0))
+    nes = F.when(mean > 0, F.col("es") / mean).otherwise(F.lit(0.0) if weight else F.col("es"))
+    out = out.select("list.*", F.col("set").alias(set_key), "n_hits", "es", nes.alias("nes"), p.alias("p_value"))
     return bh(out, "p_value", "fdr", lists, [set_key])
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -172,6 +173,41 @@ def test_planted_set_leads(spark):
     assert {r.set_name: r.n_leading for r in edge.collect()}["top"] == 15
 
 
+def brute_null(genes, own, n_perm, weights=None, seed=42):
+    """es, nes, p of one set by a dense walk over every permutation."""
+    names, scores = [g for g, _ in genes], [abs(x) for _, x in genes]
+
+    def walk(placed):
+        total = sum(scores[i] * w for i, w in placed.items()) or 1.0
+        run, high, low = 0.0, 0.0, 0.0
+        for i in range(len(names)):
+            run += scores[i] * placed[i] / total if i in placed else -1 / (len(names) - len(placed))
+            high, low = max(high, run), min(low, run)
+        return high if round(abs(high), 12) >= round(abs(low), 12) else low
+
+    weights = weights or dict.fromkeys(own, 1.0)
+    es, null = walk({names.index(g): weights[g] for g in own}), []
+    for perm in range(1, n_perm + 1):
+        place = {g: i for i, g in enumerate(sorted(names, key=lambda g: hashlib.md5(f"{seed}|{perm}|{g}".encode()).hexdigest()))}
+        null.append(walk({place[g]: weights[g] for g in own}))
+    same = [abs(x) for x in null if (x >= 0) == (es >= 0)]
+    p = max(sum(round(x, 12) >= round(abs(es), 12) for x in same) / len(same) if same else 0.0, 1 / (n_perm + 1))
+    return es, es / (sum(same) / len(same)) if same else es, p
+
+
+def test_permutations_grow_with_the_sets(spark):
+    assert [gsea.permutations(1000, n) for n in (100, 101, 300, 3000)] == [1000, 1010, 3000, 10_000]
+    genes = [(f"G{i:02d}", 30.0 - i - 0.001 * i * i) for i in range(60)]
+    ranked = gsea.ranking(frame(spark, genes, "gene string, score double").withColumn("l", F.lit(1)), ["l"])
+    own = {f"s{j:03d}": [f"G{(j * 7 + 11 * i) % 60:02d}" for i in range(4)] for j in range(101)} | {"top": [f"G{i:02d}" for i in range(10)]}
+    members = frame(spark, [(k, g) for k, gs in own.items() for g in gs], "set_name string, gene string")
+    out = {r.set_name: r for r in gsea.preranked(ranked, members, ["l"], "set_name", 100).collect()}
+    assert out["top"].p_value == pytest.approx(1 / 1021)  # 102 sets: 1,020 permutations
+    order = [(r.gene, r.score) for r in ranked.orderBy("rank_no").collect()]
+    for k in ("s000", "s017", "top"):
+        assert (out[k].es, out[k].nes, out[k].p_value) == pytest.approx(brute_null(order, own[k], 1020), abs=1e-9)
+
+
 def test_repeats_keep_the_largest_absolute_score(spark):
     r = gsea.ranking(frame(spark, [("a", 1.0), ("a", -3.0), ("a", 3.0), ("b", 2.0)], "gene string, score double"), [])
     assert one(r.orderBy("rank_no"), "gene", "score", "rank_no") == [("a", 3.0, 1), ("b", 2.0, 2)]
