@@ -115,3 +115,37 @@ def sample_correlation(values: DataFrame, n_genes: int, sample: str = "sample")
     cov = F.col("d") - F.col("sa") * F.col("sb") / n_genes
     var = (F.col("qa") - F.col("sa") * F.col("sa") / n_genes) * (F.col("qb") - F.col("sb") * F.col("sb") / n_genes)
     return df.select("a", "b", F.try_divide(cov, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("r"))
+
+
+def batch_correlation(values: DataFrame, samples: DataFrame, n_genes: int, sample: str = "sample") -> DataFrame:
+    """same_batch, n_pairs, mean_r: mean Pearson over all pairs of samples within and between batches.
+
+    Every pair of samples that have values counts, with or without a common gene; r is over all
+    genes, zeros included, and undefined (not in the mean) for a constant sample. The sums of r
+    come from sums over samples by gene and by batch, so no pairs are formed. Pairs with a null
+    batch are in a group of their own (null).
+    """
+    moments = values.groupBy(sample).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    var = F.col("q") - F.col("s") * F.col("s") / n_genes
+    m = moments.join(samples.select(sample, "batch"), sample).select(sample, "batch", "s", F.when(var > 0, F.sqrt(var)).alias("sd"))
+    z, u = F.col("s") / F.col("sd"), F.col("value") / F.col("sd")
+    pairs = lambda one, two: (F.sum(one) * F.sum(one) - F.sum(two)) / 2
+    n = m.groupBy("batch").agg(F.count("*").alias("n"), F.count("sd").alias("k"), F.sum(z).alias("z"), F.sum(z * z).alias("zz"))
+    g = values.join(m.where("sd is not null"), sample).groupBy("batch", "gene").agg(F.sum(u).alias("u"), F.sum(u * u).alias("uu"))
+    dot = g.groupBy("batch").agg(F.sum((F.col("u") * F.col("u") - F.col("uu")) / 2).alias("d"))
+    choose = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    own = n.where("batch is not null").join(dot, "batch", "left")
+    own = own.agg(choose("n").alias("n"), choose("k").alias("k"), F.sum(F.coalesce("d", F.lit(0.0)) - F.coalesce((F.col("z") * F.col("z") - F.col("zz")) / 2, F.lit(0.0)) / n_genes).alias("r"))
+
+    def whole(counts: DataFrame, sums: DataFrame) -> DataFrame:
+        d = sums.groupBy("gene").agg(pairs("u", "uu").alias("d")).agg(F.sum("d").alias("d"))
+        c = counts.agg(F.sum("n").alias("a"), F.sum("k").alias("b"), pairs("z", "zz").alias("z"))
+        two = lambda x: F.col(x) * (F.col(x) - 1) / 2
+        return c.join(F.broadcast(d)).select(two("a").alias("n"), two("b").alias("k"), (F.coalesce("d", F.lit(0.0)) - F.coalesce("z", F.lit(0.0)) / n_genes).alias("r"))  # one row
+
+    known, all_ = whole(n.where("batch is not null"), g.where("batch is not null")), whole(n, g)
+    x, y, w = (df.select(*[F.coalesce(c, F.lit(0.0)).alias(f"{c}{i}") for c in "nkr"]) for i, df in enumerate((own, known, all_)))
+    row = lambda same, n_, k, r: F.struct(F.lit(same).cast("boolean").alias("same_batch"), n_.cast("long").alias("n_pairs"), F.try_divide(r, k).alias("mean_r"))
+    c = F.col
+    rows = [row(True, c("n0"), c("k0"), c("r0"))] + [row(same, *(c(f"{v}{i}") - c(f"{v}{i - 1}") for v in "nkr")) for i, same in ((1, False), (2, None))]
+    return x.join(F.broadcast(y)).join(F.broadcast(w)).select(F.inline(F.array(*rows))).where("n_pairs > 0")  # one row each

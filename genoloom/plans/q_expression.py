@@ -113,11 +113,9 @@ def quality_filter(s, d):
  r as (select a, b, (dd - p.s * o.s / n) / nullif(sqrt(greatest((p.q - p.s * p.s / n) * (o.q - o.s * o.s / n), 0)), 0) as r from dp join m p on p.sample = a join m o on o.sample = b, n)
 select k.batch = l.batch as same_batch, count(*) as n_pairs, round(avg(r), 6) as mean_r from r join samples k on k.sample = a join samples l on l.sample = b group by 1""")
 def batch_correlation(s, d):
-    """Mean correlation of samples within and between batches."""
-    r = ex.sample_correlation(_cpm(s, d), f.load(s, d, "part").count())
-    b = f.samples(s, d).select("sample", "batch")
-    r = r.join(b.toDF("a", "batch_a"), "a").join(b.toDF("b", "batch_b"), "b")
-    return r.groupBy((F.col("batch_a") == F.col("batch_b")).alias("same_batch")).agg(F.count("*").alias("n_pairs"), F.round(F.avg("r"), 6).alias("mean_r"))
+    """Mean correlation of samples within and between batches; the SQL leaves out pairs without a common gene."""
+    out = ex.batch_correlation(_cpm(s, d), f.samples(s, d), f.load(s, d, "part").count())
+    return out.withColumn("mean_r", F.round("mean_r", 6))
 
 
 @query(f.with_(f.SAMPLES) + "select batch, count(*) filter (grp = 'case') as n_case, count(*) filter (grp = 'control') as n_control, n_case = 0 or n_control = 0 as confounded from samples group by 1")

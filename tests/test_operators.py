@@ -208,6 +208,18 @@ def test_permutations_grow_with_the_sets(spark):
         assert (out[k].es, out[k].nes, out[k].p_value) == pytest.approx(brute_null(order, own[k], 1020), abs=1e-9)
 
 
+def test_batch_correlation_counts_pairs_without_a_common_gene(spark):
+    x = np.array([[1, 2, 0, 0, 0, 0], [2, 1, 0, 1, 0, 0], [0, 0, 3, 1, 0, 0], [0, 0, 0, 0, 5, 2]], float)
+    batch = ["p", "p", "q", "q"]
+    values = frame(spark, [(i, j, float(v)) for i, r in enumerate(x) for j, v in enumerate(r) if v], "sample int, gene int, value double")
+    got = {r.same_batch: (r.n_pairs, r.mean_r) for r in expression.batch_correlation(values, frame(spark, list(enumerate(batch)), "sample int, batch string"), 6).collect()}
+    r = np.corrcoef(x)
+    for same in (True, False):
+        want = [r[i, j] for i in range(4) for j in range(i + 1, 4) if (batch[i] == batch[j]) == same]
+        assert got[same][0] == len(want) and got[same][1] == pytest.approx(np.mean(want), abs=1e-9)
+    assert len(got) == 2
+
+
 def test_repeats_keep_the_largest_absolute_score(spark):
     r = gsea.ranking(frame(spark, [("a", 1.0), ("a", -3.0), ("a", 3.0), ("b", 2.0)], "gene string, score double"), [])
     assert one(r.orderBy("rank_no"), "gene", "score", "rank_no") == [("a", 3.0, 1), ("b", 2.0, 2)]
