@@ -149,14 +149,23 @@ _WEIGHTED = f.with_(f.RANKED) + """, ws as (select set_name, gene, max(coalesce(
 select file_id, set_name, n_hits, round(case when round(abs(hi), 12) >= round(abs(lo), 12) then hi else lo end, 6) as es from e"""
 
 
-@query(_WEIGHTED)
-def gsea_weighted(s, d):
+def weighted_sets_of(s, d):
     w = f.load(s, d, "gene_set").select("set_name", f.clean_gene("gene").alias("gene"), F.coalesce(F.nanvl("weight", F.lit(1.0)), F.lit(1.0)).alias("weight"))
-    w = w.where("set_name is not null and gene is not null").groupBy("set_name", "gene").agg(F.max("weight").alias("weight"))
-    out = gsea.enrichment_scores(gsea.hits(f.ranked(s, d), w, "set_name", 3, "weight"), ["file_id", "set_name"])
+    return w.where("set_name is not null and gene is not null").groupBy("set_name", "gene").agg(F.max("weight").alias("weight"))
+
+
+@query(_WEIGHTED)
+def gsea_weighted_es(s, d):
+    out = gsea.enrichment_scores(gsea.hits(f.ranked(s, d), weighted_sets_of(s, d), "set_name", 3, "weight"), ["file_id", "set_name"])
     return _r(out, "es").select("file_id", "set_name", "n_hits", "es")
 
 
+@query()
+def gsea_weighted(s, d):
+    out = gsea.preranked(f.ranked(s, d), weighted_sets_of(s, d), ["file_id"], "set_name", weight="weight")
+    return _r(out, "es", "nes", "p_value", "fdr")
+
+
 _BH = f.with_(f.CONTEXT) + """, x as (select *, count(p_value) over (partition by program) as n, row_number() over (partition by program, p_value is null order by p_value) as r from context)
 select run_id, program, gene, p_value, round(case when p_value is not null then least(1.0, min(p_value * n / r) over (partition by program, p_value is null order by r desc)) end + 1e-9, 6) as q from x"""
 

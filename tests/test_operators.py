@@ -208,6 +208,17 @@ def test_permutations_grow_with_the_sets(spark):
         assert (out[k].es, out[k].nes, out[k].p_value) == pytest.approx(brute_null(order, own[k], 1020), abs=1e-9)
 
 
+def test_weights_move_with_their_genes(spark):
+    genes = [(f"G{i:02d}", 9.0 - 0.7 * i - 0.003 * i * i) for i in range(25)]
+    ranked = gsea.ranking(frame(spark, genes, "gene string, score double").withColumn("l", F.lit(1)), ["l"])
+    own = {"a": {"G00": 0.9, "G03": 0.1, "G09": 0.5}, "b": {"G20": 1.0, "G23": 0.25, "G05": 0.05, "G24": 0.7}}
+    members = frame(spark, [(k, g, w) for k, ws in own.items() for g, w in ws.items()], "set_name string, gene string, weight double")
+    out = {r.set_name: r for r in gsea.preranked(ranked, members, ["l"], "set_name", 200, weight="weight").collect()}
+    for k, ws in own.items():
+        assert (out[k].es, out[k].nes, out[k].p_value) == pytest.approx(brute_null(genes, list(ws), 200, ws), abs=1e-9)
+        assert out[k].fdr >= out[k].p_value
+
+
 def test_batch_correlation_counts_pairs_without_a_common_gene(spark):
     x = np.array([[1, 2, 0, 0, 0, 0], [2, 1, 0, 1, 0, 0], [0, 0, 3, 1, 0, 0], [0, 0, 0, 0, 5, 2]], float)
     batch = ["p", "p", "q", "q"]
