@@ -8,12 +8,13 @@ nothing but the tasks it ran. Nothing here keeps data in executor memory or on e
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import weakref
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that count as spaces around names: Unicode White_Space and the ASCII separators.
@@ -44,9 +45,11 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir; where that is unset in a local session (tests), a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="genoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -100,6 +103,7 @@ def dense_ids(df: DataFrame, name: str, start: int = 0) -> DataFrame:
     """Number the rows start, start + 1, ... without one global sort.
 
     The rows are written once; what comes to the driver is one count for each partition.
+    The result's ``_genoloom_rows`` is the number of rows.
     """
     spark = df.sparkSession
     raw = materialize(df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
@@ -109,16 +113,33 @@ def dense_ids(df: DataFrame, name: str, start: int = 0) -> DataFrame:
         offsets.append((pid, at))
         at += n
     if not offsets:
-        return raw.select(*df.columns, F.lit(start).cast("long").alias(name))
+        out = raw.select(*df.columns, F.lit(start).cast("long").alias(name))
+        out._genoloom_rows = 0
+        return out
     table = spark.createDataFrame(offsets, "_pid int, _at long")
     # one row for each partition of the written table: bounded by the partition count
     out = raw.join(F.broadcast(table), "_pid").select(
         *df.columns, (F.col("_at") + F.col("_mid").bitwiseAND((1 << 33) - 1)).alias(name)
     )
-    out._genoloom_path = raw._genoloom_path
+    out._genoloom_path, out._genoloom_rows = raw._genoloom_path, at - start
     return out
 
 
+def running_totals(df: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the group that come before by ``order`` (unique in a group).
+
+    A range sort spreads a group over many tasks; each part sums its own rows, and only the parts'
+    totals (one row for each part and group) meet in one window a group.
+    """
+    parts = df.repartitionByRange(F.col(group), F.col(order)).withColumn("_pid", F.spark_partition_id())
+    parts = materialize(parts)
+    before = lambda w: F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = parts.groupBy(group, "_pid").agg(F.sum(value).alias("_v"))
+    base = totals.select(group, "_pid", before(Window.partitionBy(group).orderBy("_pid")).alias("_base"))
+    own = parts.withColumn("_v", F.col(value)).withColumn("_own", before(Window.partitionBy(group, "_pid").orderBy(order)))
+    return own.join(base, [group, "_pid"]).select(*df.columns, (F.col("_base") + F.col("_own")).alias(name))
+
+
 def clean_name(column: Column | str) -> Column:
     """A name without spaces of any kind around it; null when nothing is left."""
     c = F.trim(F.col(column) if isinstance(column, str) else column, F.lit(SPACES))

@@ -34,3 +34,34 @@ def test_dense_ids_and_written_tables(spark):
     kept = materialize(df)
     assert kept.count() == 1000
     release(kept)
+
+
+def test_running_totals(spark):
+    from genoloom.runtime import running_totals
+
+    rows = [(g, i * 3, (i * 7 + g) % 5) for g in (1, 2) for i in range(300)] + [(3, 0, 4)]
+    df = spark.createDataFrame(rows, "g int, o long, v long").repartition(5)
+    got = {(r.g, r.o): r.before for r in running_totals(df, "g", "o", "v", "before").collect()}
+    want, total = {}, {}
+    for g, o, v in sorted(rows):
+        want[(g, o)] = total.get(g, 0)
+        total[g] = total.get(g, 0) + v
+    assert got == want
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from genoloom import runtime
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    try:
+        runtime.shared_dir(Session())
+    except ValueError as error:
+        assert "spark.checkpoint.dir" in str(error)
+    else:
+        raise AssertionError
