@@ -9,10 +9,12 @@ Before pairs are formed, items that no qualifying pair can hold are left out. Wi
 the scope, n_a <= n_b and n_ab <= n_a, a pair with n_ab >= least needs n_a >= least, and a pair
 with n_ab * R >= lift * n_a * n_b needs R >= lift * n_b. Both cuts lose nothing, and the second
 removes exactly the items that are in a great many records. A record of very many items is cut
-into slices of first items, so that one task never forms all of its pairs.
+into slices of first items before the records are spread over the tasks, so that one record's
+slices go to many tasks, and a slice forms at most RUN_CODES codes and one row of them at a time.
 
 Defined cases: null or blank names and records of an unknown scope do not count; repeats count
-once; a record of one item counts in R; empty tables give no rows; other columns are ignored.
+once; a record of one item counts in R; empty tables give no rows; other columns are ignored;
+more than 2^32 usable (scope, item) pairs don't fit the codes and are an error.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from genoloom.runtime import clean_gene, clean_name, dense_ids, materialize, pic
 
 RUN_CODES = 1 << 21
 SLICE = 512
+#: Numbers that half a code can hold.
+CODES = 1 << 32
 
 
 def program_records(programs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def _emit(codes: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _pair_runs(width: int):
-    """Sorted runs of pair codes of rows (ids sorted ascending, first position of ``width`` first items)."""
+    """Sorted runs of pair codes: each row's ids (sorted ascending) pair its ``width`` first ones with all that follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -59,26 +63,37 @@ def _pair_runs(width: int):
             sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
             ends = np.cumsum(sizes)
-            for s, e, f in zip(ends - sizes, ends, batch.column("first").to_numpy()):
+            for s, e in zip(ends - sizes, ends):
                 row = flat[s:e]
                 m = len(row)
-                a = np.arange(f, min(f + width, m - 1))
-                if not len(a):
-                    continue
-                lens = m - 1 - a
-                left = np.repeat(row[a], lens)
-                at = np.arange(len(left)) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(a + 1, lens)
-                held.append(((left << np.uint64(32)) | row[at]).view(np.int64))
-                count += len(left)
-                if count >= RUN_CODES:
-                    yield _emit(held)
-                    held, count = [], 0
+                step = max(1, RUN_CODES // max(m, 1))
+                for lo in range(0, min(width, m - 1), step):
+                    a = np.arange(lo, min(lo + step, width, m - 1))
+                    lens = m - 1 - a
+                    left = np.repeat(row[a], lens)
+                    at = np.arange(len(left)) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(a + 1, lens)
+                    held.append(((left << np.uint64(32)) | row[at]).view(np.int64))
+                    count += len(left)
+                    if count >= RUN_CODES:
+                        yield _emit(held)
+                        held, count = [], 0
         if held:
             yield _emit(held)
 
     return run
 
 
+def spread_slices(numbered: DataFrame, parts: int, width: int) -> DataFrame:
+    """ids of every slice of every (scope, record, ids) row, spread over tasks by (scope, record, slice).
+
+    A slice holds its ``width`` first ids and all ids after them. Records of a scope stand
+    together, so that a run counts most of a scope's pairs at once.
+    """
+    cut = numbered.select("scope", "record", "ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 2, F.lit(width))).alias("first"))
+    cut = cut.select("scope", "record", "first", F.slice("ids", F.col("first") + 1, F.size("ids")).alias("ids"))
+    return cut.repartitionByRange(parts, "scope", "record", "first").select("ids")
+
+
 def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add up neighbours of equal code in a sorted stream."""
     last, total = None, 0
@@ -107,6 +122,8 @@ def pair_counts(records: DataFrame, scope: str, record: str, items: str, least:
     counts = kept.select("scope", F.explode("items").alias("item")).groupBy("scope", "item").agg(F.count("*").alias("n"))
     usable = counts.where(F.col("n") >= least).join(sizes, "scope").where(F.col("n") * lift <= F.col("n_records"))
     usable = dense_ids(usable, "id")
+    if usable._genoloom_rows > CODES:
+        raise ValueError(f"{usable._genoloom_rows} usable items; a pair code holds two of {CODES}")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = (
         kept.select("scope", "record", F.explode("items").alias("item"))
@@ -115,11 +132,7 @@ def pair_counts(records: DataFrame, scope: str, record: str, items: str, least:
         .agg(F.array_sort(F.collect_list("id")).alias("ids"))
         .where(F.size("ids") > 1)
     )
-    # records of a scope stand together, so that a run counts most of a scope's pairs at once
-    numbered = numbered.repartitionByRange(parts, "scope", "record").select(
-        "ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 2, F.lit(SLICE))).alias("first")
-    )
-    runs = numbered.mapInArrow(_pair_runs(SLICE), "code long, n int")
+    runs = spread_slices(numbered, parts, SLICE).mapInArrow(_pair_runs(SLICE), "code long, n int")
     summed = runs.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(_run_lengths, "code long, n_ab long")
     summed = summed.where(F.col("n_ab") >= least)
     side = lambda x: usable.select(F.col("id").alias(f"id_{x}"), F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}"))

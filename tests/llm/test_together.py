@@ -3,6 +3,8 @@ from collections import Counter
 from itertools import combinations
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from genoloom.llm import together
 
@@ -56,3 +58,29 @@ def test_runs_span_batches():
     batch = lambda c, n: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32())], ["code", "n"])
     out = list(together._run_lengths(iter([batch([1, 1, 2], [1, 2, 1]), batch([], []), batch([2, 2], [5, 1]), batch([2, 9], [1, 4])])))
     assert {k: v for b in out for k, v in zip(b.column("code").to_pylist(), b.column("n_ab").to_pylist())} == {1: 3, 2: 8, 9: 4}
+
+
+def test_slices_of_one_record_go_to_many_tasks(spark):
+    ids = list(range(0, 6000, 2))
+    rows = spark.createDataFrame([(1, "r", ids)], "scope long, record string, ids array<long>")
+    cut = together.spread_slices(rows, 4, 512)
+    got = cut.withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 6 and len({r.task for r in got}) >= 3
+    assert sorted(r.ids[0] for r in got) == ids[::512] and all(r.ids[-1] == ids[-1] for r in got)
+
+
+def test_a_huge_record_beside_small_ones(spark, monkeypatch):
+    # one program with 700 genes in runs of 10,000 codes: its pairs count once, a few of them again in small programs
+    monkeypatch.setattr(together, "RUN_CODES", 10_000)
+    rows = [(1, "huge", f"g{i}") for i in range(700)] + [(1, f"p{j}", f"g{i}") for j in range(3) for i in (1, 2, 650)] + [(1, f"q{j}", f"z{j}") for j in range(60)]
+    a = spark.createDataFrame(rows, "run_id long, program string, gene string")
+    got = {tuple(r) for r in together.gene_pairs(a, spark.createDataFrame([(1, 5)], "run_id long, ensemble_id long")).select("ensemble_id", "gene_a", "gene_b", "n_ab", "n_a", "n_b", "n_programs").collect()}
+    assert got == brute(rows, [(1, 5)]) and len(got) == 3
+
+
+def test_codes_that_would_collide_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(together, "CODES", 10)
+    rows, runs = data(1)
+    a, b = spark.createDataFrame(rows, "run_id long, program string, gene string"), spark.createDataFrame(runs, "run_id long, ensemble_id long")
+    with pytest.raises(ValueError, match="usable items"):
+        together.gene_pairs(a, b)
