@@ -3,7 +3,8 @@
 A sentence is the mean of the embeddings of its words' subwords (character n-grams and the whole
 word, hashed into BUCKETS rows); a linear softmax over that mean gives the languages. The model
 is trained by stochastic gradient descent in numpy on sentences of a bounded, hash-ordered
-sample of labelled documents (DOCS_EACH for each language, SENTENCES_EACH from each document).
+sample of labelled documents (DOCS_EACH for each language, SENTENCES_EACH from each document,
+evenly over the document; both are parameters of ``train``). A sampled sentence is taken whole.
 Labels are partly wrong, so models of two halves of the documents judge each other's half first,
 and the sentences whose label has less than half the probability of the best language are left
 out of the final fit. On held-out
@@ -11,12 +12,15 @@ sentences a temperature makes the probabilities honest, and the rejection thresh
 lowest at which accepted sentences are right in ACCEPT of all cases.
 
 As everything before the softmax is a sum over words, each distinct word is embedded and
-projected once for a worker; a sentence costs one look-up for each word. Whole texts are read.
+projected once for a worker; a sentence costs one look-up for each word. Whole texts are read,
+and nothing depends on the length of a text, a line, a quotation or a word.
 
 What counts as a sentence: text up to a terminator that a space or the end follows, of at least
 MIN_WORDS words after genes, identifiers, numbers, code in back-quotes and quoted terms are left
 out (MIN_SIGNS characters in scripts without spaces). Headings, table rows, list entries and
-whatever else ends without a terminator are none. Words of more than LONGEST letters are no words.
+whatever else ends without a terminator are none. A quotation lies within a line; it is a term and
+left out unless it holds a whole sentence (a terminator at its end or before a space, and more than
+three spaces). A word of any length counts by its subwords.
 
 Defined cases: null, empty and blank texts and texts without sentences have no language (null,
 confidence null) and are no case; repeated texts are judged each; an empty table gives no rows;
@@ -26,6 +30,7 @@ without any labelled document every language is null; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -38,17 +43,21 @@ from genoloom.llm.bpe import slices
 from genoloom.runtime import pick
 
 BUCKETS, WIDTH, EPOCHS, LEAST_STEPS, RATE, BATCH, SEED = 1 << 17, 12, 3, 200, 0.2, 128, 5
-DOCS_EACH, SENTENCES_EACH, TRAIN_WORDS = 400, 6, 40
-MIN_WORDS, MIN_SIGNS, LONGEST = 3, 6, 40
+DOCS_EACH, SENTENCES_EACH = 400, 6
+MIN_WORDS, MIN_SIGNS = 3, 6
 ACCEPT = 0.995
-KNOWN = 300_000
+#: A worker's table of words is begun anew beyond this many words or letters; results don't depend on it.
+KNOWN, KNOWN_LETTERS = 300_000, 1 << 24
 
 _SIGNS = r"぀-ヿ㐀-鿿豈-﫿"
 #: A sign of a script without spaces, or a run of other word characters (joined by :: - or apostrophes).
 WORD = re.compile(rf"[{_SIGNS}]|[^\W{_SIGNS}]+(?:(?:::|[-'’])[^\W{_SIGNS}]+)*")
 _BREAK = re.compile(rf"[.!?…]+[\"'”’)\]]*(?=\s|$|[{_SIGNS}])|[。！？]+[」』”]*|\n")
 _FENCE = re.compile(r"```.*?```|`[^`\n]*`", re.S)
-_QUOTE = re.compile(r"\"[^\"\n]{0,80}\"|“[^”\n]{0,80}”|„[^“”\n]{0,80}[“”]|«[^»\n]{0,80}»|「[^」\n]{0,80}」")
+#: A straight quote opens where no letter or digit of a script with spaces stands before it (5" is no quotation).
+_LETTER = "0-9A-Za-z\u00c0-\u052f"
+_QUOTE = re.compile(rf"(?<![{_LETTER}])\"[^\"\n]*\"(?![{_LETTER}])|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」")
+_WITHIN = re.compile(r"[.!?…](?=\s)|[。！？]")
 _MARKS = frozenset("#-*|>@`+=\n")
 
 
@@ -57,8 +66,8 @@ def _blank(m: re.Match) -> str:
 
 
 def _quoted(m: re.Match) -> str:
-    inner = m.group()[1:-1].rstrip()
-    return m.group() if inner[-1:] in ".!?。" and inner.count(" ") > 3 else " " * len(m.group())
+    inner = m.group()[1:-1].rstrip() + " "
+    return m.group() if inner.count(" ") > 4 and _WITHIN.search(inner) else " " * len(m.group())
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -90,8 +99,8 @@ def _subwords(word: str) -> np.ndarray:
 
 
 def _natural(token: str) -> bool:
-    """Whether a token can be a word: no identifier, gene, number or drawn-out run."""
-    return not (len(token) > LONGEST or "_" in token or "::" in token or any(c.isdigit() for c in token))
+    """Whether a token can be a word: no identifier, gene or number."""
+    return not ("_" in token or "::" in token or any(c.isdigit() for c in token))
 
 
 class Words(dict):
@@ -104,6 +113,7 @@ class Words(dict):
 
     def forget(self) -> None:
         self.clear()
+        self.letters = 0
         self.subs: list[np.ndarray] = []
         self.rows: list[np.ndarray] = []
         self.table = None
@@ -118,6 +128,7 @@ class Words(dict):
             sums = self.projected[subs].sum(0) if len(subs) else np.zeros(self.projected.shape[1])
             self.rows.append(np.r_[sums, len(subs), len(subs) > 0 and not sign, len(subs) > 0 and sign])
         self[token] = number = len(self)
+        self.letters += len(token)
         return number
 
     def sums(self, tokens: np.ndarray) -> np.ndarray:
@@ -135,6 +146,7 @@ class Model:
     """Embeddings times weights, the bias, the temperature and the rejection threshold."""
 
     def __init__(self, langs: list[str], projected: np.ndarray, bias: np.ndarray, heat: float = 1.0, reject: float = 0.5):
+        self.key = uuid.uuid4().hex  # tells workers which model their table of words belongs to
         self.langs, self.projected, self.bias, self.heat, self.reject = langs, projected.astype(np.float32), bias, heat, reject
 
     def probabilities(self, sums: np.ndarray, subwords: np.ndarray) -> np.ndarray:
@@ -187,10 +199,10 @@ def fit(rows: list[tuple[str, int, str]]) -> Model | None:
     langs = sorted({r[0] for r in rows})
     words, bags, label, doc = Words(), [], [], []
     for lang, d, text in rows:
-        tokens = [words[t] for t in WORD.findall(text)[: TRAIN_WORDS * 8]]
+        tokens = [words[t] for t in WORD.findall(text)]
         got = [words.subs[t] for t in tokens if len(words.subs[t])]
         if len(got) >= MIN_WORDS:
-            bags.append(np.concatenate(got[:TRAIN_WORDS] if ord(text[0]) < 0x3040 else got))
+            bags.append(np.concatenate(got))
             label.append(langs.index(lang))
             doc.append(d)
     if not bags:
@@ -248,36 +260,36 @@ def labelled(documents: DataFrame, tags: DataFrame) -> DataFrame:
     return docs.join(names, docs["lang"] == names["lang_tag"], "left").select("doc_id", "text", F.col("code").alias("lang"))
 
 
-def training_rows(docs: DataFrame) -> list[tuple[str, int, str]]:
-    """At most SENTENCES_EACH sentences of at most DOCS_EACH documents for each language."""
+def training_rows(docs: DataFrame, docs_each: int = DOCS_EACH, sentences_each: int = SENTENCES_EACH) -> list[tuple[str, int, str]]:
+    """At most ``sentences_each`` sentences of at most ``docs_each`` documents for each language."""
     order = F.xxhash64("doc_id", F.lit(SEED))
     known = docs.where("lang is not null and text is not null and length(text) > 20")
     chosen = known.select("doc_id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
-    chosen = chosen.where(F.col("k") <= DOCS_EACH).select("doc_id")
+    chosen = chosen.where(F.col("k") <= docs_each).select("doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for d, t, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang"))):
-                found = [s.strip()[:400] for _, _, s in sentences(t)]
+                found = [s.strip() for _, _, s in sentences(t)]
                 found = [s for s in found if len(s) > 15]
-                step = max(1, len(found) // SENTENCES_EACH)
-                out += [(lang, d, s) for s in found[::step][:SENTENCES_EACH]]
+                step = max(1, len(found) // sentences_each)
+                out += [(lang, d, s) for s in found[::step][:sentences_each]]
             if out:
                 a, b, c = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int64()), pa.array(c)], ["lang", "doc_id", "sentence"])
 
-    picked = docs.join(F.broadcast(chosen), "doc_id").mapInArrow  # bounded: DOCS_EACH for each language
+    picked = docs.join(F.broadcast(chosen), "doc_id").mapInArrow  # bounded: docs_each for each language
     return sorted(tuple(r) for r in picked(cut, "lang string, doc_id long, sentence string").collect())
 
 
-def train(documents: DataFrame, tags: DataFrame) -> Model | None:
-    return fit(training_rows(labelled(documents, tags)))
+def train(documents: DataFrame, tags: DataFrame, docs_each: int = DOCS_EACH, sentences_each: int = SENTENCES_EACH) -> Model | None:
+    return fit(training_rows(labelled(documents, tags), docs_each, sentences_each))
 
 
 def judge(own: Words, model: Model, texts: list[str | None]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
     """(text number, (from, to), language number or -1, confidence) of all sentences of the texts."""
-    if len(own) > KNOWN:
+    if len(own) > KNOWN or own.letters > KNOWN_LETTERS:
         own.forget()
     numbers, counts, spans, which = [], [], [], []
     get = own.__getitem__
@@ -302,7 +314,7 @@ def judge(own: Words, model: Model, texts: list[str | None]) -> tuple[np.ndarray
     return np.array(which), spans, np.where(whole, np.where(p.max(1) >= model.reject, best, -1), -2), p.max(1)
 
 
-_words: dict[int, Words] = {}
+_words: dict[str, Words] = {}
 
 
 def segments(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -320,10 +332,10 @@ def segments(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if id(m) not in _words:
+        if m.key not in _words:
             _words.clear()
-            _words[id(m)] = Words(m.projected)
-        own = _words[id(m)]
+            _words[m.key] = Words(m.projected)
+        own = _words[m.key]
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()

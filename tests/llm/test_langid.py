@@ -77,3 +77,30 @@ def test_without_labels_or_rows(spark):
     tags = spark.createDataFrame(TAGS, "lang_tag string, lang string")
     assert [r.lang for r in langid.document_languages(docs, tags).collect()] == [None]
     assert langid.document_languages(docs.limit(0), tags).count() == 0
+
+
+def test_quotations_of_any_length_are_treated_alike():
+    short = 'The group calls it "ein klares Signal in der Niere" in every report.'
+    long = short.replace("ein klares", "ein " + "sehr " * 60 + "klares")
+    for text in (short, long):
+        (_, _, words), = langid.sentences(text)
+        assert "Niere" not in words and "every report" in words
+    for n in (1, 60):
+        whole = 'She said "' + "Das Programm zeigt ein " + "sehr " * n + "klares Signal. Mehr" + '" and left the room.'
+        assert "Programm" in " ".join(w for _, _, w in langid.sentences(whole))
+    inches = 'A bar of 5" is long enough for us. Then we took the "KAX1 term" away from it.'
+    assert [w.split()[0] for _, _, w in langid.sentences(inches)] == ["A", "Then"]
+    assert "KAX1" not in langid.sentences(inches)[1][2]
+
+
+def test_words_of_any_length_have_subwords(spark):
+    assert len(langid._subwords("donau" * 30)) and langid._natural("donau" * 30)
+    model, rng = model_of(corpus()), random.Random(4)
+    text = sentence("de", rng).replace(".", " " + "Nierengewebe" * 8 + ".")
+    which, _, lang, _ = langid.judge(langid.Words(model.projected), model, [text])
+    assert [model.langs[x] for x in lang] == ["de"]
+
+
+def test_a_worker_keeps_models_apart():
+    one, two = model_of(corpus(seed=1)), model_of(corpus(seed=2))
+    assert one.key != two.key
