@@ -13,6 +13,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 import unicodedata
@@ -182,7 +183,7 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def encoder(model) -> Encoder:
@@ -197,8 +198,9 @@ class _Model:
     """A broadcast model with a name that tells workers which encoder fits."""
 
     def __init__(self, df: DataFrame, folder: str, name: str):
-        self._b = df.sparkSession.sparkContext.broadcast(piece_model(read_ranks(folder, name)))
-        self.id = f"{folder}/{name}"
+        model = piece_model(read_ranks(folder, name))
+        self._b = df.sparkSession.sparkContext.broadcast(model)
+        self.id = hashlib.sha256(model).hexdigest()
 
     @property
     def value(self) -> bytes:
@@ -219,3 +221,23 @@ def encode_documents(documents: DataFrame, folder: str = TOKENIZERS, name: str =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return pick(documents, ["doc_id", "text"]).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
+    """doc_id, text of (doc_id, ids): the inverse mapping, a byte table indexed by id; null ids give an empty text.
+
+    Bytes that are no UTF-8, which only cut lists of ids can give, become U+FFFD; an id that the
+    vocabulary lacks is an error.
+    """
+    by_id = sorted((rank, token) for token, rank in read_ranks(folder, name).items())
+    if [rank for rank, _ in by_id] != list(range(len(by_id))):
+        raise ValueError(f"the ids of {name} are not dense")
+    table = encoded.sparkSession.sparkContext.broadcast([token for _, token in by_id])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = table.value
+        for batch in batches:
+            texts = [b"".join([tokens[i] for i in row or ()]).decode("utf-8", "replace") for row in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return pick(encoded, ["doc_id", "ids"]).mapInArrow(run, "doc_id long, text string")

@@ -1,9 +1,11 @@
 """Mixing sources to target shares of tokens, with a cap on repeats.
 
-Every task encodes its documents and packs the tokens of each source into blocks of a fixed
-length; what is left over of a source in a task is packed once more over all tasks, so that a
-source has at most one short block. Blocks are numbered by source from counts for each written
-part. The blocks wanted of each source follow from the target shares, the stock and the cap on
+The documents of a source are dealt to segments of about SEGMENT_DOCS by a hash of their ids; a
+segment is encoded and packed into blocks of a fixed length in the order of that hash. What is left
+over of the segments is packed once more, FAN segments at a time, until a source has at most one
+short block. So the blocks depend on the documents alone, not on files, splits or the cluster, and
+one seed gives one mix. Blocks are numbered by source from running totals over segments; the draws
+are joined to these numbers first, so the tokens are moved once. The blocks wanted of each source follow from the target shares, the stock and the cap on
 repeats; each output shard draws its source counts from a multinomial law conditioned on these
 totals (the multivariate hypergeometric law), so caps and totals hold exactly. The j-th draw of
 a source is block P_e(j mod n) with e = j div n, where P_e is a pseudorandom permutation of the
@@ -18,7 +20,7 @@ Defined cases: a source is compared in lower case without spaces around it; null
 unlisted sources are not drawn; null and empty texts hold no tokens; a wanted source without
 stock has share 0; a target of null or below 0 counts as 0, max_repeats of null as 1, below 1 as
 not wanted; a source listed again counts by its largest target; with no stock at all nothing is
-drawn and the shares are null; other columns are ignored.
+drawn and the shares are null; other columns are ignored. Rows of one doc_id are ordered by text.
 """
 
 from __future__ import annotations
@@ -31,18 +33,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm import bpe
-from genoloom.runtime import clean_name, materialize, pick
+from genoloom.runtime import clean_name, materialize, pick, running_totals
 
 BLOCK_TOKENS, SHARD_BLOCKS, SEED = 512, 256, 71
-_BLOCK = "source string, part int, seq int, n_tokens int, tokens binary, docs array<struct<doc_id:long,at:int>>"
+SEGMENT_DOCS, FAN = 500, 4_096
+_BLOCK = "source string, part long, seq int, n_tokens int, tokens binary, docs array<struct<doc_id:long,at:int>>"
 _DOC = pa.struct([("doc_id", pa.int64()), ("at", pa.int32())])
 
 
 class _Packer:
-    """Tokens of one source, cut into blocks as they come."""
+    """Tokens of one part of a source, cut into blocks as they come."""
 
-    def __init__(self, source: str):
-        self.source, self.held, self.n, self.docs, self.seq = source, [], 0, [], 0
+    def __init__(self, source: str, part: int):
+        self.source, self.part, self.held, self.n, self.docs, self.seq = source, part, [], 0, [], 0
 
     def add(self, doc: int, ids: np.ndarray) -> Iterator[tuple]:
         while len(ids):
@@ -55,43 +58,42 @@ class _Packer:
                 yield self.flush()
 
     def flush(self) -> tuple:
-        row = (self.source, self.seq, self.n, np.concatenate(self.held).astype("<u2").tobytes(), self.docs)
+        row = (self.source, self.part, self.seq, self.n, np.concatenate(self.held).astype("<u2").tobytes(), self.docs)
         self.held, self.n, self.docs, self.seq = [], 0, [], self.seq + 1
         return row
 
 
-def _rows(rows: list[tuple], part: int) -> pa.RecordBatch:
-    s, q, n, t, d = zip(*rows)
-    parts = pa.array([part] * len(s), pa.int32())
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    s, p, q, n, t, d = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(s, pa.string()), parts, pa.array(q, pa.int32()), pa.array(n, pa.int32()), pa.array(t, pa.binary()), pa.array(d, pa.list_(_DOC))],
+        [pa.array(s, pa.string()), pa.array(p, pa.int64()), pa.array(q, pa.int32()), pa.array(n, pa.int32()), pa.array(t, pa.binary()), pa.array(d, pa.list_(_DOC))],
         ["source", "part", "seq", "n_tokens", "tokens", "docs"],
     )
 
 
-def _part() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
-def _packed(feed, batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-    packers: dict[str, _Packer] = {}
-    out: list[tuple] = []
+def _packed(feed, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a stream in which the rows of a (source, part) stand together."""
+    packer, out = None, []
     for batch in batches:
-        for source, doc, ids in feed(batch):
-            packer = packers.get(source) or packers.setdefault(source, _Packer(source))
+        for source, part, doc, ids in feed(batch):
+            if packer is None or (packer.source, packer.part) != (source, part):
+                if packer is not None and packer.n:
+                    out.append(packer.flush())
+                packer = _Packer(source, part)
             out.extend(packer.add(doc, ids))
             if len(out) >= 2_000:
-                yield _rows(out, part)
+                yield _rows(out)
                 out = []
-    out += [p.flush() for p in packers.values() if p.n]
+    if packer is not None and packer.n:
+        out.append(packer.flush())
     if out:
-        yield _rows(out, part)
+        yield _rows(out)
 
 
-def token_blocks(documents: DataFrame, targets: DataFrame, folder: str = bpe.TOKENIZERS, name: str = bpe.VOCABULARY) -> DataFrame:
-    """source, block_no, n_tokens, tokens (16-bit ids), docs: the stock of the wanted sources, written."""
+def token_blocks(documents: DataFrame, targets: DataFrame, folder: str = bpe.TOKENIZERS, name: str = bpe.VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """The stock of the wanted sources, written: (source, part, seq, n_tokens, tokens of 16 bits, docs), and
+    (source, part, seq, block_no), which numbers the blocks of a source from 0."""
+    spark = documents.sparkSession
     model = bpe._Model(documents, folder, name)
     ranks = len(bpe.read_ranks(folder, name))
     if ranks > 1 << 16:
@@ -104,42 +106,49 @@ def token_blocks(documents: DataFrame, targets: DataFrame, folder: str = bpe.TOK
             for piece in bpe.slices(batch, "text"):
                 flat, counts = own.encode(piece.column("text").to_pylist())
                 ends = np.cumsum(counts)
-                for source, doc, end, n in zip(piece.column("source").to_pylist(), piece.column("doc_id").to_pylist(), ends, counts):
-                    yield source, doc, flat[end - n : end]
+                for source, part, doc, end, n in zip(*(piece.column(c).to_pylist() for c in ("source", "part", "doc_id")), ends, counts):
+                    yield source, part, doc, flat[end - n : end]
 
-        yield from _packed(feed, batches, _part())
+        yield from _packed(feed, batches)
 
     def repack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def feed(batch):
-            for source, data, docs in zip(*(batch.column(c).to_pylist() for c in ("source", "tokens", "docs"))):
+            for source, part, data, docs in zip(*(batch.column(c).to_pylist() for c in ("source", "into", "tokens", "docs"))):
                 ids = np.frombuffer(data, "<u2")
                 cuts = [d["at"] for d in docs] + [len(ids)]
                 for d, a, b in zip(docs, cuts, cuts[1:]):
-                    yield source, d["doc_id"], ids[a:b]
+                    yield source, part, d["doc_id"], ids[a:b]
 
-        # numbers after those of all first parts
-        yield from _packed(feed, batches, (1 << 30) + _part())
+        yield from _packed(feed, batches)
 
-    wanted = targets.select("source").distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = pick(documents, ["doc_id", "source", "text"]).select("doc_id", F.lower(clean_name("source")).alias("source"), "text")
-    # mix_targets is fixed and small, but its size is left for Spark to see
-    docs = docs.where("text is not null and text <> ''").join(wanted, "source", "left_semi").select("source", "doc_id", "text")
-    first = materialize(docs.mapInArrow(encode, _BLOCK))
-    full = first.where(F.col("n_tokens") == BLOCK_TOKENS)
-    # at most one short block for each source and task: the rests of a source meet in one task
-    rests = first.where(F.col("n_tokens") < BLOCK_TOKENS).repartition("source").sortWithinPartitions("source", "part")
-    rests = materialize(rests.mapInArrow(repack, _BLOCK))
-    both = full.unionByName(rests)
-    counts = both.groupBy("source", "part").agg(F.count("*").alias("n")).collect()
-    at: dict[str, int] = {}
-    offsets = []
-    for r in sorted(counts, key=lambda r: (r["source"], r["part"])):
-        offsets.append((r["source"], r["part"], at.get(r["source"], 0)))
-        at[r["source"]] = at.get(r["source"], 0) + r["n"]
-    table = documents.sparkSession.createDataFrame(offsets, "source string, part int, first long")
-    # one row for each source and written part: bounded by the task count, not by the rows
-    out = both.join(F.broadcast(table), ["source", "part"])
-    return out.select("source", (F.col("first") + F.col("seq")).alias("block_no"), "n_tokens", "tokens", "docs")
+    # one row for each source of the targets
+    sizes = docs.join(targets.select("source").distinct(), "source").groupBy("source").agg(F.count("*").alias("n")).collect()
+    segments = [(r["source"], -(-r["n"] // SEGMENT_DOCS)) for r in sizes]
+    small = F.broadcast(spark.createDataFrame(segments, "source string, n_segments long"))  # as bounded as the targets
+    order = F.xxhash64("doc_id", F.lit(SEED))
+    docs = docs.where("text is not null and text <> ''").join(small, "source").withColumn("_h", order)
+    docs = docs.select("source", F.pmod("_h", "n_segments").alias("part"), "_h", "doc_id", "text")
+    docs = docs.repartition(parts, "source", "part").sortWithinPartitions("source", "part", "_h", "doc_id", "text")
+    found = materialize(docs.select("source", "part", "doc_id", "text").mapInArrow(encode, _BLOCK))
+    full, level, most = [found.where(F.col("n_tokens") == BLOCK_TOKENS)], 1, max((n for _, n in segments), default=1)
+    short = found.where(F.col("n_tokens") < BLOCK_TOKENS)
+    while most > 1:
+        # at most one short block for each part: FAN parts of a source at a time are packed by one task
+        into = (F.lit(level << 48) + F.floor(F.col("part").bitwiseAND((1 << 48) - 1) / FAN)).alias("into")
+        short = short.select("*", into).repartition(parts, "source", "into").sortWithinPartitions("source", "into", "part")
+        found = materialize(short.select("source", "into", "tokens", "docs").mapInArrow(repack, _BLOCK))
+        full.append(found.where(F.col("n_tokens") == BLOCK_TOKENS))
+        short = found.where(F.col("n_tokens") < BLOCK_TOKENS)
+        level, most = level + 1, -(-most // FAN)
+    blocks = short
+    for more in full:
+        blocks = blocks.unionByName(more)
+    counts = blocks.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("seq").alias("low"))
+    first = running_totals(counts, "source", "part", "n", "first").select("source", "part", (F.col("first") - F.col("low")).alias("first"))
+    numbers = blocks.select("source", "part", "seq").join(first, ["source", "part"])
+    return blocks, numbers.select("source", "part", "seq", (F.col("first") + F.col("seq")).alias("block_no"))
 
 
 def clean_targets(targets: DataFrame) -> DataFrame:
@@ -239,25 +248,25 @@ def draw_slots(spark, sources: list[str], stock: list[int], wanted: list[int], s
 
 
 def plan_mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, **vocabulary) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(blocks, slots, plan): the stock, the draws and one row for each wanted source."""
+    """(blocks, slots, plan): the stock, the draws (with part and seq of their block) and one row for each wanted source."""
     spark = documents.sparkSession
     wanted = clean_targets(targets)
-    blocks = token_blocks(documents, wanted, **vocabulary)
+    blocks, numbers = token_blocks(documents, wanted, **vocabulary)
     stock = blocks.groupBy("source").agg(F.count("*").alias("n_blocks"), F.sum("n_tokens").alias("stock_tokens"))
     # one row for each source of the targets
     rows = sorted(wanted.join(stock, "source", "left").collect(), key=lambda r: r["source"])
     n = [r["n_blocks"] or 0 for r in rows]
     tokens = total_tokens if total_tokens is not None else sum(r["stock_tokens"] or 0 for r in rows)
     take = quotas([r["target_share"] for r in rows], [r["max_repeats"] * k for r, k in zip(rows, n)], round(tokens / BLOCK_TOKENS))
-    slots = draw_slots(spark, [r["source"] for r in rows], n, take)
+    # the draws come from a small plan, so Spark takes them for small; they grow with the stock
+    slots = draw_slots(spark, [r["source"] for r in rows], n, take).hint("merge").join(numbers, ["source", "block_no"])
     plan = [(r["source"], r["target_share"], r["max_repeats"], r["stock_tokens"] or 0, k, t) for r, k, t in zip(rows, n, take)]
     plan = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, stock_tokens long, stock_blocks long, drawn_blocks long")
     return blocks, slots, plan
 
 
 def _drawn(slots: DataFrame, blocks: DataFrame) -> DataFrame:
-    # the draws come from a small plan, so Spark takes them for small; they grow with the stock
-    return slots.hint("merge").join(blocks, ["source", "block_no"])
+    return slots.hint("merge").join(blocks, ["source", "part", "seq"])
 
 
 def _as_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +289,7 @@ def mixed_blocks(documents: DataFrame, targets: DataFrame, total_tokens: int | N
 def mixed_shares(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, **vocabulary) -> DataFrame:
     """For each wanted source its target, stock, drawn tokens, actual share and most repeats."""
     blocks, slots, plan = plan_mix(documents, targets, total_tokens, **vocabulary)
-    drawn = _drawn(slots, blocks.select("source", "block_no", "n_tokens"))
+    drawn = _drawn(slots, blocks.select("source", "part", "seq", "n_tokens"))
     drawn = drawn.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.max("repeat_no").alias("most_repeats"))
     # one row for each source: the window over all of them is small
     out = plan.join(drawn, "source", "left").withColumn("all_tokens", F.sum("drawn_tokens").over(Window.partitionBy()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm import bpe, clusters, langid, mix, setjoin, together, topn
@@ -110,6 +110,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(load(spark, d, "documents"))
 
 
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again, decoded from their ids: equal to the texts themselves."""
+    return bpe.decode_documents(bpe.encode_documents(load(spark, d, "documents")))
+
+
+P6_TEXT_SQL = "select doc_id, coalesce(text, '') as text from documents"
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix.mixed_blocks(load(spark, d, "documents"), load(spark, d, "mix_targets"))
 
@@ -118,6 +126,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mixed_shares(load(spark, d, "documents"), load(spark, d, "mix_targets"))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every source's share: repeats within the cap, and the target met unless the stock ends first."""
+    shares = mix.mixed_shares(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+    spent = F.col("drawn_tokens") >= F.col("stock_tokens") * F.col("max_repeats")
+    return shares.select(
+        "source", "target_share", "max_repeats", (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_kept"),
+        (spent | (F.col("actual_share") >= F.col("target_share") - 0.002)).alias("target_kept"),
+        (F.round(F.sum("actual_share").over(Window.partitionBy()), 9) == 1).alias("whole"),  # one row for each source
+    )
+
+
+P7_CHECKS_SQL = f"""
+select lower(trim(source, {_CH})) as source, target_share, max_repeats, true as cap_kept, true as target_kept, true as whole from mix_targets
+"""
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     documents, tags = load(spark, d, "documents"), load(spark, d, "lang_tags")
     model = langid.train(documents, tags)
@@ -144,8 +168,10 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_summary": p5_summary,
     "p6_ids": p6_ids,
+    "p6_text": p6_text,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
     "p8_segments": p8_segments,
@@ -157,4 +183,6 @@ SQL = {
     "p4_odds": P4_ODDS_SQL,
     "p5_found": P5_SQL,
     "p5_summary": P5_SUMMARY_SQL,
+    "p6_text": P6_TEXT_SQL,
+    "p7_checks": P7_CHECKS_SQL,
 }

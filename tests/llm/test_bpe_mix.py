@@ -40,6 +40,25 @@ def test_random_texts_and_a_full_memory(monkeypatch):
         assert [list(x) for x in np.split(flat, np.cumsum(n)[:-1])] == [ref.encode_ordinary(t) for t in texts]
 
 
+def test_decoding_is_the_inverse(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = dict(bpe.decode_documents(bpe.encode_documents(df).selectExpr("*", "'c' as text")).collect())
+    assert got == {i: t or "" for i, t in enumerate(TEXTS)}
+    odd = dict(bpe.decode_documents(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).collect())
+    assert odd == {1: "", 2: ""}
+
+
+def test_a_changed_vocabulary_is_another_encoder(spark, tmp_path):
+    df = spark.createDataFrame([(1, "abab")], "doc_id long, text string")
+    import base64
+
+    base = [bytes([i]) for i in range(256)]
+    for extra in ([b"ab"], [b"ab", b"abab"]):
+        (tmp_path / "v.tiktoken").write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(base + extra)))
+        got = bpe.encode_documents(df, str(tmp_path), "v").collect()[0].ids
+        assert got == ([256, 256] if len(extra) == 1 else [257])
+
+
 def test_encoding_empty_table(spark):
     assert bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -84,7 +103,8 @@ def test_mix_keeps_caps_tokens_and_shares(spark):
 
 def test_blocks_hold_every_token_once(spark):
     d, t = mixture(spark)
-    blocks = mix.token_blocks(d, mix.clean_targets(t)).collect()
+    stock, numbers = mix.token_blocks(d, mix.clean_targets(t))
+    blocks = stock.join(numbers, ["source", "part", "seq"]).collect()
     ref, got = reference(), {}
     for b in blocks:
         ids = np.frombuffer(b.tokens, "<u2")
@@ -97,6 +117,26 @@ def test_blocks_hold_every_token_once(spark):
     assert sum(b.n_tokens < mix.BLOCK_TOKENS for b in blocks) <= 3
 
 
+def test_the_mix_depends_on_neither_splits_nor_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mix, "SEGMENT_DOCS", 4)
+    monkeypatch.setattr(mix, "FAN", 2)
+    d, t = mixture(spark)
+    got = []
+    for splits, parts in ((1, 3), (7, 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got.append({(r.shard, r.slot): (r.source, r.block_no, r.repeat_no, tuple(r.ids)) for r in mix.mixed_blocks(d.repartition(splits), t).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got[0] == got[1] and len(got[0]) > 20
+    stock, numbers = mix.token_blocks(d, mix.clean_targets(t))
+    blocks = stock.join(numbers, ["source", "part", "seq"]).collect()
+    assert sum(b.n_tokens < mix.BLOCK_TOKENS for b in blocks) <= 3
+    for s in ("big", "small"):
+        own = sorted(b.block_no for b in blocks if b.source == s)
+        assert own == list(range(len(own))) and own
+
+
 def test_mix_without_stock(spark):
     d = spark.createDataFrame([], "doc_id long, source string, text string")
     t = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
