@@ -1,13 +1,26 @@
 """All pairs of similar sets by a forest of sorted minhash sketches.
 
-Equal sets are one class first, so copies are compared once. Every class gets a minhash sketch
-of TREES x DEPTH values. In each tree the classes are ordered lexicographically by the tree's
-values; classes with a common prefix of the search depth are neighbours. The depth is found by
-going from the deepest prefix to shorter ones until 1 - (1 - t^d)^TREES, the chance that a pair
-at the threshold t meets in some tree, reaches the target recall. Neighbours that pass a length filter are candidates; their exact Jaccard is then taken from the sets.
-
-A prefix that very many classes share is cut into blocks, and all pairs of blocks are compared
-in separate tasks, so no task holds an unbounded group and no pair is lost.
+Equal sets are one class first, so copies are compared once. Every class gets a label of DEPTH
+16-bit minhashes in each of TREES independent trees. A tree is the lexicographic order of its
+labels: classes with a common prefix stand together at every depth. The forest is sorted and
+written once, as rows of neighbourhoods at the shortest prefix that can be needed.
+
+The search starts LEVELS below that, at longer prefixes, and goes up the trees level by level: a
+pass over the written neighbourhoods compares the classes whose common prefix in a tree ends at
+the level, and verifies them by the exact Jaccard of their sets. After each level the recall is
+measured on what was found: a pair of Jaccard s is met with the chance p = 1 - (1 - s^d)^TREES,
+so each pair found stands for (1 - p) / p pairs missed, and one pair at the threshold, found or
+not, is always counted in. The search ends when found / (found + missed) reaches TARGET, at the
+latest at the level where even pairs exactly at the threshold reach it.
+
+Neighbourhoods of up to SMALL classes give their pairs to a join with the sets; a pair met in
+several trees is the same row there, and what it costs is bounded by SMALL. Larger ones carry the
+sets' item hashes: the task verifies the pairs itself, and from the sketches, which it works out
+again, it knows whether a pair was met at a longer prefix or in an earlier tree, so repeats never
+leave the task. A neighbourhood that more than BLOCK classes share is cut by the rarest
+items of the sets first (two sets at the threshold share an item of their prefixes in one common
+order; the first shared one counts), and what is still larger into blocks, all pairs of which are compared in separate tasks. So
+no task holds an unbounded group and no pair is lost.
 
 Defined cases: names are cleaned, blank entries and repeats dropped; an empty or null list is an
 empty set, which is similar to nothing, not even to another empty set; an id that comes again
@@ -20,25 +33,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoloom.runtime import SPACES, clean_gene, dense_ids, materialize, pick
 
-TREES, DEPTH, SEED = 48, 6, 20_240_611
-#: Members of one prefix that one task compares.
-BLOCK = 2_000
-TARGET = 0.9999
+TREES, DEPTH, SEED = 48, 8, 20_240_611
+#: Levels below the last one at which the search begins.
+LEVELS = 2
+#: Members of one neighbourhood that one task compares, and up to which its pairs are verified by a join.
+BLOCK, SMALL = 2_000, 64
+TARGET = 0.99999
+
+
+def chance(similarity: float, depth: int, trees: int = TREES) -> float:
+    """How likely a pair shares a prefix of the depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def search_depth(threshold: float, trees: int = TREES, target: float = TARGET) -> int:
-    """The deepest prefix at which a pair at the threshold is met with the target chance."""
-    for depth in range(DEPTH, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
-            return depth
-    return 1
+    """The longest prefix at which a pair at the threshold is met with the target chance: the last level."""
+    return next((d for d in range(DEPTH, 1, -1) if chance(threshold, d, trees) >= target), 1)
 
 
 def listed_sets(lists: DataFrame, reference: DataFrame) -> DataFrame:
@@ -63,102 +80,230 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes.select("class_id", "has_list", "items"), members
 
 
-def _sketcher(depth: int):
+def _hashing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    mult = (rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-    add = rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
+    n = TREES * DEPTH
+    odd = lambda: (rng.integers(1, 2**63, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    return odd(), rng.integers(0, 2**63, n, dtype=np.uint64), odd()
+
+
+_MULT, _ADD, _LAST = _hashing()
+
+
+def sketch(flat: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """(set, tree, level) minhashes of the sets that begin at ``starts`` of the item hashes, 16 bits each."""
+    out = np.empty((len(starts), TREES, depth), np.uint16)
+    for t in range(TREES):
+        for d in range(depth):
+            j = t * DEPTH + d
+            v = flat * _MULT[j] + _ADD[j]
+            v ^= v >> np.uint64(29)
+            least = np.minimum.reduceat((v * _LAST[j]) >> np.uint64(32), starts)
+            # the smallest of 32 bits is small for large sets, so it is mixed once more before it is cut
+            out[:, t, d] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    return out
+
+
+def _flat(hashes: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return hashes.flatten().to_numpy().view(np.uint64), sizes, np.cumsum(sizes) - sizes
+
+
+def _labels(depth: int):
+    """One row for each class and tree; a label is the tree and the big-endian minhashes, so its byte order is the tree's order."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2_000):
-                part = batch.slice(lo, 2_000)
-                ids, sizes = part.column("class_id").to_numpy(), part.column("hashes").value_lengths().to_numpy()
-                flat = part.column("hashes").flatten().to_numpy().view(np.uint64)
-                starts = np.cumsum(sizes) - sizes
-                mins = np.empty((len(ids), TREES * DEPTH), np.uint32)
-                for j in range(TREES * DEPTH):
-                    v = flat * mult[j] + add[j]
-                    v ^= v >> np.uint64(29)
-                    mins[:, j] = np.minimum.reduceat((v * mult[-1 - j]) >> np.uint64(32), starts).astype(np.uint32)
-                whole = mins.reshape(len(ids), TREES, DEPTH)
-                # the search key of a tree: its prefix, packed by a 64-bit mix; then the deeper values for the order
-                key = np.zeros((len(ids), TREES), np.uint64)
-                for d in range(depth):
-                    key = (key ^ whole[:, :, d].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(32)
-                key = (key & ~np.uint64(63)) | np.arange(TREES, dtype=np.uint64)
-                rest = whole[:, :, depth:].astype(">u4").reshape(len(ids), TREES, -1)
-                n = len(ids) * TREES
+            for lo in range(0, batch.num_rows, 1_000):
+                part = batch.slice(lo, 1_000)
+                flat, sizes, starts = _flat(part.column("hashes"))
+                m, n, width = len(sizes), len(sizes) * TREES, 1 + 2 * depth
+                label = np.empty((m, TREES, width), np.uint8)
+                label[:, :, 0] = np.arange(TREES, dtype=np.uint8)
+                label[:, :, 1:] = sketch(flat, starts, depth).astype(">u2").view(np.uint8).reshape(m, TREES, 2 * depth)
+                ends = pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32))
+                row = pa.array(np.repeat(np.arange(m), TREES))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key.reshape(n).view(np.int64)),
-                        pa.array([r.tobytes() for r in rest.reshape(n, -1)], pa.binary()),
-                        pa.array(np.repeat(ids, TREES)),
+                        pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(label.tobytes())]),
+                        part.column("class_id").take(row),
                         pa.array(np.repeat(sizes.astype(np.int32), TREES)),
-                        pa.array(np.repeat(part.column("has_list").to_numpy(zero_copy_only=False), TREES)),
+                        part.column("has_list").take(row),
                     ],
-                    ["prefix", "deeper", "class_id", "size", "has_list"],
+                    ["label", "class_id", "size", "has_list"],
                 )
 
-    return sketch
-
-
-SKETCHED = "prefix long, deeper binary, class_id long, size int, has_list boolean"
+    return run
 
 
+LABELS = "label binary, class_id long, size int, has_list boolean"
+#: A neighbourhood: its members in the order of the tree.
+NODE = "labels array<binary>, ids array<long>, sizes array<int>, lists array<boolean>, sides array<int>, befores array<array<long>>"
 PAIRS = 1 << 21
 
 
-def _neighbours(threshold: float):
-    """Pairs within runs of equal (prefix, block pair) of a sorted stream; runs are bounded by 2 * BLOCK."""
-
-    def pairs_of(run: np.ndarray, size: np.ndarray, ids: np.ndarray, lists: np.ndarray, side: np.ndarray) -> Iterator[pd.DataFrame]:
-        """``run`` numbers the runs of the rows; all runs at once, PAIRS pairs at a time."""
-        order = np.lexsort((size, run))
-        run, size, ids, lists, side = run[order], size[order].astype(np.int64), ids[order], lists[order], side[order]
-        # by size within a run: the partners of i end where size passes size_i / threshold
-        wide = int(size.max()) * 2 + 2
-        key = run * wide + size
-        most = np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), wide - 1)
-        lens = np.maximum(np.searchsorted(key, run * wide + most, side="right") - np.arange(len(key)) - 1, 0)
-        ends = np.cumsum(lens)
-        lo = 0
-        while lo < len(lens):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-            n = lens[lo:hi]
-            i = np.repeat(np.arange(lo, hi), n)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
-            use = (lists[i] | lists[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (ids[i] != ids[j])
-            a, b = ids[i[use]], ids[j[use]]
-            if len(a):
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-            lo = hi
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-
-        def columns(frame: pd.DataFrame, run: np.ndarray):
-            many = np.bincount(run)[run] > 1
-            return (run[many], *(frame[c].to_numpy()[many] for c in ("size", "class_id", "has_list", "side")))
-
-        for frame in frames:
-            if held is not None:
-                frame = pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of equal (prefix, item, pair) of a sorted stream as one row each; runs that can't hold a pair are left out."""
+    names = ("label", "class_id", "size", "has_list", "side", "before")
+    held: pa.Table | None = None
+
+    def rows(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Neighbourhoods that begin at ``starts``; the last one ends with the table."""
+        if not len(starts):
+            return
+        lens = np.diff(np.r_[starts, table.num_rows])
+        with_list = np.add.reduceat(table.column("has_list").to_numpy().astype(np.int64), starts)
+        use = (lens > 1) & (with_list > 0)
+        if not use.any():
+            return
+        table = table.filter(pa.array(np.repeat(use, lens)))
+        ends = pa.array(np.r_[0, np.cumsum(lens[use])].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, table.column(c).combine_chunks()) for c in names]
+        yield pa.RecordBatch.from_arrays(lists, ["labels", "ids", "sizes", "lists", "sides", "befores"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows, bool)
+        for c in ("prefix", "item", "pair"):
+            x = table.column(c).combine_chunks()
+            new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+        new[0] = True
+        starts = np.flatnonzero(new)
+        held = table.slice(int(starts[-1]))  # the last run may go on
+        yield from rows(table.slice(0, int(starts[-1])), starts[:-1])
+    if held is not None:
+        yield from rows(held, np.zeros(1, np.int64))
+
+
+def _codes(labels: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(tree, minhashes) of the labels."""
+    raw = np.frombuffer(b"".join(labels.to_pylist()), np.uint8).reshape(len(labels), -1)
+    return raw[:, 0].astype(np.int64), np.ascontiguousarray(raw[:, 1:]).view(">u2").astype(np.uint16)
+
+
+def _within(node: np.ndarray, codes: np.ndarray, size: np.ndarray, lists: np.ndarray, side: np.ndarray, depth: int, deepest: bool, threshold: float):
+    """(i, j) of the members whose common prefix ends at the depth (or later, at the first level), PAIRS at a time.
+
+    Members of a node stand in the order of its tree, so a common prefix is a run of neighbours. Within
+    a run they are put in the order of size: the partners of i end where size passes size_i / threshold.
+    """
+    same = np.r_[False, node[1:] == node[:-1]]
+    runs = [np.cumsum(~(same & np.r_[False, (codes[1:, :d] == codes[:-1, :d]).all(1)])) for d in (depth, depth + 1)]
+    order = np.lexsort((size, runs[0]))
+    run, deeper, s = runs[0][order], runs[1][order], size[order].astype(np.int64)
+    wide = int(s.max()) * 2 + 2
+    most = np.minimum(np.floor(s / threshold + 1e-9).astype(np.int64), wide - 1)
+    lens = np.maximum(np.searchsorted(run * wide + s, run * wide + most, side="right") - np.arange(len(s)) - 1, 0)
+    ends = np.cumsum(lens)
+    lo = 0
+    while lo < len(lens):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        n = lens[lo:hi]
+        x = np.repeat(np.arange(lo, hi), n)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + x + 1
+        i, j = order[x], order[y]
+        use = (lists[i] | lists[j]) & ((side[i] != side[j]) | (side[i] == 2))
+        if not deepest:
+            use &= deeper[x] != deeper[y]
+        if use.any():
+            yield i[use], j[use]
+        lo = hi
+
+
+def _candidates(threshold: float, depth: int, deepest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lens = batch.column("ids").value_lengths().to_numpy(zero_copy_only=False)
+            if not len(lens):
                 continue
-            k, b = frame["prefix"].to_numpy(), frame["pair"].to_numpy()
-            new = np.r_[False, (k[1:] != k[:-1]) | (b[1:] != b[:-1])]
-            run = np.cumsum(new)
-            done = int(np.searchsorted(run, run[-1]))  # the last run may go on
-            held = frame.iloc[done:]
-            if done:
-                got = columns(frame.iloc[:done], run[:done])
-                if len(got[0]):
-                    yield from pairs_of(*got)
-        if held is not None and len(held) > 1:
-            yield from pairs_of(*columns(held, np.zeros(len(held), np.int64)))
-
-    return scan
+            codes = _codes(batch.column("labels").flatten())[1]
+            ids, size, side = (batch.column(c).flatten().to_numpy() for c in ("ids", "sizes", "sides"))
+            lists = batch.column("lists").flatten().to_numpy(zero_copy_only=False)
+            for i, j in _within(np.repeat(np.arange(len(lens)), lens), codes, size, lists, side, depth, deepest, threshold):
+                a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+                pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return run
+
+
+def _keys(sketches: np.ndarray, depth: int) -> np.ndarray:
+    """(set, tree) keys of the prefixes of a depth: exact up to four levels, mixed beyond."""
+    key = np.zeros(sketches.shape[:2], np.uint64)
+    for d in range(depth):
+        if d >= 4:
+            key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            key = key ^ sketches[:, :, d]
+        else:
+            key = (key << np.uint64(16)) | sketches[:, :, d]
+    return key
+
+
+def _overlaps(flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """|x ∩ y| of the sets at the places i, j."""
+    rec = np.repeat(np.arange(len(sizes)), sizes)
+    _, item, df = np.unique(flat, return_inverse=True, return_counts=True)
+    often = df > 1
+    local = np.cumsum(often) - 1
+    v = int(often.sum())
+    if v and len(sizes) * v <= 1 << 24 and len(sizes) ** 2 * v < len(i) * sizes.mean() * 500:
+        m = np.zeros((len(sizes), v), np.float32)
+        kept = often[item]
+        m[rec[kept], local[item[kept]]] = 1
+        return (m @ m.T)[i, j].astype(np.int64)
+    held = np.sort(rec * len(df) + item)  # sorted: membership by binary search
+    out = np.zeros(len(i), np.int64)
+    step = max(1, 4_000_000 // max(int(sizes.max()), 1))
+    by_set = held - rec * len(df)
+    for lo in range(0, len(i), step):
+        x, y = i[lo : lo + step], j[lo : lo + step]
+        x, y = np.where(sizes[x] <= sizes[y], x, y), np.where(sizes[x] <= sizes[y], y, x)
+        n = sizes[x]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) - np.repeat(ends - n - starts[x], n)
+        want = np.repeat(y, n) * len(df) + by_set[at]
+        found = np.searchsorted(held, want)
+        out[lo : lo + step] = np.add.reduceat((held[np.minimum(found, len(held) - 1)] == want).astype(np.int64), ends - n)
+    return out
+
+
+def _verified(threshold: float, depth: int, deepest: bool):
+    """a, b, k, t of the pairs at the threshold that no earlier level, tree or rare item of a node has met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                labels, ids, lists, side, befores, hashes = (batch.column(c)[r].values for c in ("labels", "ids", "lists", "sides", "befores", "hashes"))
+                tree, codes = _codes(labels)
+                flat, sizes, starts = _flat(hashes)
+                ids, lists, side = ids.to_numpy(), lists.to_numpy(zero_copy_only=False), side.to_numpy()
+                sketches = sketch(flat, starts, depth if deepest else depth + 1)
+                here, below = _keys(sketches, depth), None if deepest else _keys(sketches, depth + 1)
+                cut = befores.null_count == 0 and _flat(befores)
+                for i, j in _within(np.zeros(len(ids), np.int64), codes, sizes, lists, side, depth, deepest, threshold):
+                    for t in range(int(tree[0])):
+                        fresh = here[i, t] != here[j, t]
+                        i, j = i[fresh], j[fresh]
+                    for t in () if deepest else range(int(tree[0]) + 1, TREES):
+                        fresh = below[i, t] != below[j, t]
+                        i, j = i[fresh], j[fresh]
+                    if cut:
+                        fresh = (cut[1][i] == 0) | (cut[1][j] == 0)
+                        fresh[~fresh] = _overlaps(*cut, i[~fresh], j[~fresh]) == 0
+                        i, j = i[fresh], j[fresh]
+                    if not len(i):
+                        continue
+                    k, total = _overlaps(flat, sizes, starts, i, j), sizes[i] + sizes[j]
+                    good = k >= np.round(threshold * (total - k), 9)
+                    a, b = ids[i[good]], ids[j[good]]
+                    columns = (np.minimum(a, b), np.maximum(a, b), k[good].astype(np.int32), total[good].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "k", "t"])
+
+    return run
 
 
 def blocked(entries: DataFrame, key: str, unit: str, limit: int = BLOCK) -> DataFrame:
@@ -181,26 +326,76 @@ def blocked(entries: DataFrame, key: str, unit: str, limit: int = BLOCK) -> Data
     )
 
 
+def forest(classes: DataFrame, threshold: float, depth: int, deepest: int) -> DataFrame:
+    """The neighbourhoods (NODE) of all trees at a prefix of the depth, written."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = materialize(classes.select("class_id", "has_list", "hashes").repartition(parts).mapInArrow(_labels(deepest), LABELS))
+    entries = labels.withColumn("prefix", F.substring("label", 1, 1 + 2 * depth))
+    heavy = materialize(entries.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("prefix"))
+    whole = lambda df: df.select("*", F.lit(0).cast("long").alias("item"), F.lit(None).cast("array<long>").alias("before"), F.lit(0).alias("pair"), F.lit(2).alias("side"))
+    if heavy.isEmpty():
+        entries = whole(entries)
+    else:
+        # by rarest items: size - ceil(threshold * size) + 1 of them hold one that two sets at the threshold share
+        cut = entries.join(heavy, "prefix", "left_semi").join(rare_items(classes, threshold), "class_id")
+        cut = cut.select(*entries.columns, "rare", F.posexplode("rare").alias("at", "item")).withColumn("before", F.slice("rare", F.lit(1), F.col("at")))
+        cut = blocked(cut.drop("rare", "at").withColumn("key", F.xxhash64("prefix", "item")), "key", "class_id").drop("key")
+        entries = whole(entries.join(heavy, "prefix", "left_anti")).unionByName(cut)
+    ordered = entries.repartition(parts, "prefix", "item", "pair").sortWithinPartitions("prefix", "item", "pair", "label", "class_id")
+    return materialize(ordered.mapInArrow(_nodes, NODE))
+
+
+def rare_items(classes: DataFrame, threshold: float) -> DataFrame:
+    """class_id, rare: the prefix of each set in the order of rarity (then of hash), as hashes."""
+    held = classes.select("class_id", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
+    df = held.groupBy("hash").agg(F.count("*").alias("df"))
+    by_set = held.join(df, "hash").groupBy("class_id").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("all"))
+    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)).cast("int") + 1
+    return by_set.select("class_id", F.slice(F.col("all.hash"), F.lit(1), keep).alias("rare"))
+
+
+def with_hashes(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """The nodes with their members' item hashes beside the ids; written."""
+    numbered = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
+    members = numbered.select("node", F.posexplode("ids").alias("at", "class_id"))
+    sets = members.join(classes.select("class_id", "hashes"), "class_id")
+    sets = sets.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "hashes"))).alias("x"))
+    return materialize(numbered.join(sets, "node").select(*nodes.columns, F.col("x.hashes").alias("hashes")))
+
+
 def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     """class_a < class_b, jaccard of all pairs of distinct sets of which one has a list."""
-    spark = classes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashes = F.transform("items", lambda x: F.xxhash64(x)).alias("hashes")
-    depth = search_depth(threshold)
-    sketched = materialize(classes.select("class_id", "has_list", hashes).repartition(parts).mapInArrow(_sketcher(depth), SKETCHED))
-    entries = blocked(sketched, "prefix", "class_id")
-    ordered = entries.repartition(parts, "prefix", "pair").sortWithinPartitions("prefix", "pair", "deeper")
-    candidates = ordered.drop("deeper").mapInPandas(_neighbours(threshold), "a long, b long").distinct()
-    sets = classes.select("class_id", "items")
-    met = candidates.join(sets.withColumnsRenamed({"class_id": "a", "items": "x"}), "a").join(
-        sets.withColumnsRenamed({"class_id": "b", "items": "y"}), "b"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    met = met.select("a", "b", shared.alias("k"), (F.size("x") + F.size("y")).alias("t"))
-    # k / (t - k) >= threshold, without a division that could round a pair at the threshold away
-    return met.where(F.col("k") >= F.round(F.lit(threshold) * (F.col("t") - F.col("k")), 9)).select(
-        F.col("a").alias("class_a"), F.col("b").alias("class_b"), (F.col("k") / (F.col("t") - F.col("k"))).alias("jaccard")
-    )
+    hashed = materialize(classes.select("class_id", "has_list", "items", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes")))
+    last = search_depth(threshold)
+    first = min(last + LEVELS, DEPTH)
+    nodes = forest(hashed, threshold, last, first)
+    small, large = nodes.where(F.size("ids") <= SMALL), nodes.where(F.size("ids") > SMALL)
+    large = None if large.isEmpty() else with_hashes(large, hashed)
+    sets, found = hashed.select("class_id", "items"), []
+    enough = lambda: F.col("k") >= F.round(F.lit(threshold) * (F.col("t") - F.col("k")), 9)  # noqa: E731  no division that could round a pair at the threshold away
+    for depth in range(first, last - 1, -1):
+        met = small.mapInArrow(_candidates(threshold, depth, depth == first), "a long, b long").repartition("a").distinct()
+        met = met.join(sets.withColumnsRenamed({"class_id": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"class_id": "b", "items": "y"}), "b")
+        met = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("t")).where(enough())
+        if large is not None:
+            met = met.unionByName(large.mapInArrow(_verified(threshold, depth, depth == first), "a long, b long, k int, t int"))
+        found.append(materialize(met))
+        pairs = found[0]
+        for more in found[1:]:
+            pairs = pairs.unionByName(more)
+        pairs = pairs.repartition("a").dropDuplicates(["a", "b"])
+        if depth > last and measured_recall(pairs, threshold, depth) >= TARGET:
+            break
+    jaccard = F.col("k") / (F.col("t") - F.col("k"))
+    return pairs.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), jaccard.alias("jaccard"))
+
+
+def measured_recall(pairs: DataFrame, threshold: float, depth: int) -> float:
+    """found / (found + missed) at a level, from the exact similarities of the pairs found."""
+    p = 1 - F.pow(1 - F.pow(F.col("k") / (F.col("t") - F.col("k")), F.lit(depth)), F.lit(TREES))
+    n, missed = pairs.agg(F.count("*"), F.coalesce(F.sum((1 - p) / p), F.lit(0.0))).first()
+    p = chance(threshold, depth)
+    return (n + 1) / (n + 1 + missed + (1 - p) / p)
 
 
 def similar_sets(lists: DataFrame, reference: DataFrame, threshold: float = 0.6) -> DataFrame:
