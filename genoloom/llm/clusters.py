@@ -8,15 +8,23 @@ distance to the candidates so far, about k a pass; candidates, weighted by the c
 them, are thinned to k on the driver. LLOYD passes of Lloyd's algorithm follow. With k near
 K_FACTOR times the root of the number of classes, both the passes and the cells stay small.
 
+to them, are thinned to k on the driver. LLOYD passes of Lloyd's algorithm follow. k is K_FACTOR times the root of the number of classes,
+K_MOST at most, so what the driver and a broadcast hold is bounded and a pass is linear in the classes.
+
 A k-means cell alone would cut through groups of like records at its border, so every class goes
 into the PROBES cells of its nearest centroids. Within a cell, records of Jaccard >= ``threshold``
 are found exactly (prefix filter, then exact intersection), and a cell gives only the links that
-span its groups. Pairs that share no cell are found by a second, complete search: two sets at the
-threshold share an item of their prefixes in one common order, so classes of unlike groups meet
-by the buckets of their prefix items. Cells and buckets of more than BLOCK entries are compared
-in pairs of blocks. Groups that are connected over cells or buckets, through a chain too, are one
-cluster. The links come to no driver: components are contracted with DataFrame joins, each round
-written to the shared folder.
+span its groups. A cell of more than BLOCK classes is divided by minhashes first (SPLITS entries
+for each class, whatever the cell's size). Pairs that share no cell are found by a second, complete
+search: two sets at the threshold share an item of their prefixes in one common order, so classes
+of unlike groups meet by the buckets of their prefix items; an item that stands in the shorter
+prefix of no set (the one that suffices for the smaller set of a pair) connects nothing. Buckets
+of more than BLOCK entries are compared in pairs of blocks. Groups that are connected over cells or
+buckets, through a chain too, are one cluster. The links come to no driver: components are
+contracted with DataFrame joins, each round written to the shared folder.
+
+Typical members are those nearest the centroid of their cluster: the highest sum over their items of
+the weighted unit vector of the member times the sum of those vectors over the cluster.
 
 Defined cases: rows with a null or blank name or item do not count, repeats count once; records
 without items have no cluster; records with equal sets are in one cluster; a record like no
@@ -37,7 +45,9 @@ from genoloom.runtime import clean_gene, clean_name, dense_ids, materialize, pic
 
 DIMS, WEIGHTS = 256, 1 << 16
 K_FACTOR, ROUNDS, LLOYD, PROBES, SEED = 4.0, 2, 3, 8, 97
-BLOCK = 3_000
+#: Bounds k: broadcasts of at most 2 MB, and the thinning on the driver.
+K_MOST = 2_048
+BLOCK, SPLITS = 3_000, 2
 ROWS = 4_096
 SLOTS, BUCKET = 1 << 18, 1_000
 
@@ -77,7 +87,7 @@ class KMeans:
     def __init__(self, classes: DataFrame, n_classes: int, k: int | None = None):
         self.classes, self.n = classes, n_classes
         self.spark = classes.sparkSession
-        self.k = max(1, min(n_classes, k or round(K_FACTOR * n_classes**0.5)))
+        self.k = max(1, min(n_classes, k or min(K_MOST, round(K_FACTOR * n_classes**0.5))))
         bucket = F.pmod("hash", F.lit(WEIGHTS)).cast("int")  # of the signed hash; equal to the unsigned rest as 2^16 divides 2^64
         counts = classes.select(F.explode("hashes").alias("hash")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
         weights = np.full(WEIGHTS, np.log(n_classes + 1.0))
@@ -195,6 +205,27 @@ class KMeans:
         return self.classes.mapInArrow(run, "class_id long, hashes array<long>, cells array<int>, closeness double")
 
 
+def cell_entries(assigned: DataFrame, limit: int | None = None) -> DataFrame:
+    """cell, part, class_id, hashes: a class in its cells; cells of more than ``limit`` classes are divided.
+
+    A large cell is divided by SPLITS minhashes, so alike classes meet in a part. A part that is still
+    larger is dealt to pieces by hash: the search for missing links connects what a piece border parts.
+    """
+    limit = limit or BLOCK
+    entries = assigned.select("class_id", "hashes", F.explode("cells").alias("cell"))
+    large = entries.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("cell")
+    large = materialize(large)  # at most one row a centroid
+    if large.isEmpty():
+        return entries.select("cell", F.lit(0).cast("long").alias("part"), "class_id", "hashes")
+    low = lambda r: F.array_min(F.transform("hashes", lambda h: F.xxhash64(h, F.lit(r))))
+    parts = F.explode(F.when(F.col("large"), F.array(*[F.xxhash64(F.lit(r), low(r)) for r in range(SPLITS)])).otherwise(F.array(F.lit(0).cast("long"))))
+    entries = entries.join(F.broadcast(large.withColumn("large", F.lit(True))), "cell", "left").select("class_id", "hashes", "cell", "large", parts.alias("part"))
+    sizes = entries.where("large").groupBy("cell", "part").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    sizes = materialize(sizes.select("cell", "part", F.ceil(F.col("n") / limit).alias("pieces")))
+    piece = F.pmod(F.xxhash64("class_id"), F.coalesce("pieces", F.lit(1)))
+    return entries.join(sizes, ["cell", "part"], "left").select("cell", F.xxhash64("part", piece).alias("part"), "class_id", "hashes")
+
+
 def _min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest node of each node's component."""
     label = np.arange(n)
@@ -308,8 +339,13 @@ def _cell_links(threshold: float):
     return run
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, threshold: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches with the row and the hash of each prefix item, rarest first by the buckets' weights, then by hash."""
+def _prefixes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, threshold: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches with the row and the hash of each prefix item, rarest first by the buckets' weights, then by hash.
+
+    The last array tells which items belong to the shorter prefix: with |x| <= |y|, two sets at the
+    threshold t share 2t / (1 + t) |x| items, so their first shared one is among the first
+    |x| - ceil(2t / (1 + t) |x|) + 1 of x and the first |y| - ceil(t |y|) + 1 of y.
+    """
     for batch in batches:
         hashes = batch.column("hashes")
         sizes = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -318,7 +354,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], weights: np.ndarray, threshold:
         order = np.lexsort((h, -weights[(h.view(np.uint64) % np.uint64(WEIGHTS)).astype(np.int64)], rec))
         place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         kept = place < (sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1)[rec]
-        yield batch, rec[kept], h[order][kept]
+        short = place < (sizes - np.ceil(2 * threshold / (1 + threshold) * sizes - 1e-9).astype(np.int64) + 1)[rec]
+        yield batch, rec[kept], h[order][kept], short[kept]
 
 
 def _slot(h: np.ndarray, n: int) -> np.ndarray:
@@ -345,21 +382,24 @@ def _bucket_links(threshold: float):
 def missing_links(classes: DataFrame, weights, threshold: float) -> DataFrame:
     """u, v: roots of (class_id, hashes, root) that a pair of classes at the threshold connects; complete.
 
-    Prefix items whose slot holds classes of one root only connect nothing and are left out.
+    Prefix items whose slot holds classes of one root only, or no shorter prefix, connect nothing and are left out.
     """
 
     def slots(batches):
-        for batch, row, h in _prefixes(batches, weights.value, threshold):
+        for batch, row, h, short in _prefixes(batches, weights.value, threshold):
             root = batch.column("root").to_numpy()[row]
             slot = _slot(h, SLOTS)
             order = np.argsort(slot, kind="stable")
             cuts = np.flatnonzero(np.r_[True, np.diff(slot[order]) > 0]) if len(slot) else np.zeros(0, np.int64)
             low, high = (f.reduceat(root[order], cuts) if len(cuts) else cuts for f in (np.minimum, np.maximum))
             n = np.diff(np.r_[cuts, len(slot)])
-            yield pa.RecordBatch.from_arrays([pa.array(slot[order][cuts]), pa.array(n), pa.array(low), pa.array(high)], ["slot", "n", "low", "high"])
+            within = np.logical_or.reduceat(short[order], cuts) if len(cuts) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(slot[order][cuts]), pa.array(n), pa.array(low), pa.array(high), pa.array(within)], ["slot", "n", "low", "high", "short"])
 
-    found = classes.mapInArrow(slots, "slot long, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    mixed = found.where("low < high").select("slot", "n").collect()  # at most SLOTS rows
+    found = classes.mapInArrow(slots, "slot long, n long, low long, high long, short boolean").groupBy("slot").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("short").alias("short")
+    )
+    mixed = found.where("low < high and short").select("slot", "n").collect()  # at most SLOTS rows
     if not mixed:
         return classes.sparkSession.createDataFrame([], "u long, v long")
     open_ = np.zeros(SLOTS, bool)
@@ -368,7 +408,7 @@ def missing_links(classes: DataFrame, weights, threshold: float) -> DataFrame:
     n_buckets = -(-sum(r["n"] for r in mixed) // BUCKET)
 
     def buckets(batches):
-        for batch, row, h in _prefixes(batches, weights.value, threshold):
+        for batch, row, h, _ in _prefixes(batches, weights.value, threshold):
             use = open_.value[_slot(h, SLOTS)]
             row, bucket = np.unique(np.stack([row[use], _slot(h[use], n_buckets)]), axis=1)
             taken = pa.array(row)
@@ -426,8 +466,7 @@ class Clustering:
         assigned = materialize(self.kmeans.assign())
         release(classes)
         self.classes = assigned
-        entries = blocked(assigned.select("class_id", "hashes", F.explode("cells").alias("cell")), "cell", "class_id", BLOCK)
-        links = entries.select("cell", "pair", "class_id", "hashes").groupBy("cell", "pair").applyInArrow(_cell_links(threshold), "u long, v long")
+        links = cell_entries(assigned).groupBy("cell", "part").applyInArrow(_cell_links(threshold), "u long, v long")
         near = components(links).withColumnRenamed("node", "class_id")
         rooted = materialize(assigned.select("class_id", "hashes").join(near, "class_id", "left").withColumn("root", F.coalesce("root", "class_id")))
         far = components(missing_links(rooted, self.kmeans.weights, threshold)).toDF("root", "far")
@@ -452,17 +491,24 @@ def cluster_report(programs: DataFrame, runs: DataFrame, threshold: float = 0.5,
     """cluster_id, size, n_runs, asked_programs, typical_programs of every cluster.
 
     asked_programs is the mean n_programs (where above 0) of the runs whose programs are in the
-    cluster. Typical are the programs of the highest cosine to the centroid of their cluster; ties
-    go to the smaller name. The cosine comes from item counts of the cluster, so no task ever
-    holds a whole cluster.
+    cluster. Typical are the programs nearest the centroid of their cluster, in unit vectors of the
+    items weighted ln((N + 1) / n), n of the N programs holding the item; ties go to the smaller
+    name. The closeness comes from sums over items, so no task ever holds a whole cluster.
     """
     done = Clustering(program_sets(programs), threshold)
     members, classes = done.members, done.classes.select("class_id", "hashes")
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("record").alias("cluster"))
-    held = members.join(classes, "class_id").select("cluster_id", "record", F.explode("hashes").alias("hash"), F.size("hashes").alias("n"))
-    sums = held.groupBy("cluster_id", "hash").agg(F.count("*").alias("s"))
-    close = held.join(sums, ["cluster_id", "hash"]).groupBy("cluster_id", "record").agg((F.sum("s") / F.sqrt(F.first("n"))).alias("closeness"))
-    order = Window.partitionBy("cluster_id").orderBy(F.desc(F.round("closeness", 9)), "record")
+    copies = members.groupBy("class_id", "cluster_id").agg(F.count("*").alias("copies"))  # a class lies in one cluster
+    n_records = members.agg(F.count("*").alias("records"))  # one row
+    held = materialize(copies.join(classes, "class_id").select("cluster_id", "class_id", "copies", F.explode("hashes").alias("hash")))
+    weights = held.groupBy("hash").agg(F.sum("copies").alias("n")).join(F.broadcast(n_records)).select("hash", F.log((F.col("records") + 1) / F.col("n")).alias("w"))
+    held = held.join(weights, "hash")
+    length = held.groupBy("class_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    unit = materialize(held.join(length, "class_id").select("cluster_id", "class_id", "copies", "hash", (F.col("w") / F.col("len")).alias("u")))
+    sums = unit.groupBy("cluster_id", "hash").agg(F.sum(F.col("copies") * F.col("u")).alias("s"))
+    close = unit.join(sums, ["cluster_id", "hash"]).groupBy("class_id").agg(F.sum(F.col("u") * F.col("s")).alias("closeness"))
+    close = members.join(close, "class_id").select("cluster_id", "record", "closeness")
+    order = Window.partitionBy("cluster_id").orderBy(F.desc(F.round("closeness", 6)), "record")
     best = close.withColumn("k", F.row_number().over(order)).where(F.col("k") <= typical)
     best = best.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("k", "record"))).alias("x"))
     owner = pick(programs, ["program", "run_id"]).select(clean_name("program").alias("record"), "run_id").where("record is not null").distinct()

@@ -20,7 +20,7 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_report(load(spark, d, "dynamic_programs_long"), load(spark, d, "discovery_runs"))
 
 
-P1_SQL = f"""
+_P1 = f"""
 with recursive m as (select distinct {_PROGRAM} as program, {_GENE} as gene from dynamic_programs_long),
 v as (select * from m where program is not null and gene is not null),
 n as (select program, count(*) as n from v group by 1),
@@ -28,7 +28,22 @@ k as (select a.program as pa, b.program as pb, count(*) as k from v a join v b o
 l as (select pa, pb from k join n x on x.program = pa join n y on y.program = pb where 3 * k >= x.n + y.n),
 e as (select pa as a, pb as b from l union all select pb, pa from l),
 r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
-select distinct a as program_a, b as program_b from r where a < b
+"""
+P1_SQL = _P1 + "select distinct a as program_a, b as program_b from r where a < b"
+P1_CLUSTERS_SQL = _P1 + f"""
+, c as (select n.program, least(n.program, coalesce(min(r.b), n.program)) as cluster from n left join r on r.a = n.program group by 1),
+z as (select cluster, count(*) as size from c group by 1),
+w as (select gene, ln(((select count(*) from n) + 1) / count(*)) as w from v group by 1),
+q as (select program, sqrt(sum(w * w)) as len from v join w using (gene) group by 1),
+u as (select cluster, program, gene, w / len as u from v join w using (gene) join q using (program) join c using (program)),
+s as (select cluster, gene, sum(u) as s from u group by 1, 2),
+o as (select cluster, program, round(sum(u * s), 6) as closeness from u join s using (cluster, gene) group by 1, 2),
+t as (select cluster, string_agg(program, ',' order by k) as typical_programs
+      from (select *, row_number() over (partition by cluster order by closeness desc, program) as k from o) where k <= 3 group by 1),
+d as (select distinct cluster, run_id from (select {_PROGRAM} as program, run_id from dynamic_programs_long) join c using (program)),
+a as (select run_id, max(n_programs) as asked from discovery_runs group by 1),
+x as (select cluster, count(*) as n_runs, round(avg(case when asked > 0 then asked end), 6) as asked_programs from d left join a using (run_id) group by 1)
+select cluster, size, n_runs, asked_programs, typical_programs from z left join t using (cluster) left join x using (cluster)
 """
 
 
@@ -178,6 +193,7 @@ QUERIES = {
 }
 SQL = {
     "p1_found": P1_SQL,
+    "p1_clusters": P1_CLUSTERS_SQL,
     "p3_found": P3_SQL,
     "p4_found": P4_SQL,
     "p4_odds": P4_ODDS_SQL,

@@ -109,3 +109,27 @@ def test_chain_over_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)], "u long, v long")
     got = dict(clusters.components(links).collect())
     assert all(got[i] == 0 for i in range(1, 41)) and got[102] == 100
+
+
+def test_large_cells_are_divided_without_losing_a_link(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 6)
+    for seed in (11, 12):
+        sets = families(seed, 25, 8)
+        assert {tuple(r) for r in clusters.cluster_pairs(frame(spark, sets)).collect()} == brute(sets)
+    rows = [(i, [1, 2, 3 + i], [0]) for i in range(40)]
+    assigned = spark.createDataFrame(rows, "class_id long, hashes array<long>, cells array<int>")
+    parts = clusters.cell_entries(assigned, 6).groupBy("cell", "part").count().collect()
+    assert sum(r["count"] for r in parts) == 40 * clusters.SPLITS and max(r["count"] for r in parts) <= 20
+    assert clusters.cell_entries(assigned, 40).count() == 40
+
+
+def test_typical_members_are_nearest_the_weighted_centroid(spark):
+    # "hot" is in every program and weighs little; x1 and x2 hold the cluster's own genes
+    sets = {"x1": {"a", "b", "c", "hot"}, "x2": {"a", "b", "c", "hot", "d"}, "x3": {"a", "b", "hot", "e"}, **{f"z{i}": {"hot", f"q{i}", f"r{i}"} for i in range(30)}}
+    runs = spark.createDataFrame([], "run_id long, n_programs int")
+    report = {r["cluster"]: r for r in clusters.cluster_report(frame(spark, sets), runs).collect()}
+    assert report["x1"]["size"] == 3 and report["x1"]["typical_programs"].split(",")[0] == "x1"
+    w = {g: np.log((len(sets) + 1) / sum(g in s for s in sets.values())) for s in sets.values() for g in s}
+    unit = {n: {g: w[g] / sum(w[h] ** 2 for h in sets[n]) ** 0.5 for g in sets[n]} for n in ("x1", "x2", "x3")}
+    close = {n: sum(u * sum(o.get(g, 0) for o in unit.values()) for g, u in unit[n].items()) for n in unit}
+    assert report["x1"]["typical_programs"].split(",") == sorted(close, key=lambda n: (-round(close[n], 6), n))
