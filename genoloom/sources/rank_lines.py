@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.runtime import SPACES, pick
+from genoloom.runtime import SPACES, materialize, pick
 
 #: Fixed by the task: spellings that stand for a missing gene.
 MISSING = ("na", "n/a", "nan", "null", "none")
@@ -65,8 +65,8 @@ def split_lines(lines: DataFrame) -> DataFrame:
     return df.where(~F.coalesce(header, F.lit(False)))
 
 
-def invalid_values(parsed: DataFrame) -> DataFrame:
-    """The dictionary: every distinct value that its column can't hold, with the reason."""
+def judged_values(parsed: DataFrame) -> DataFrame:
+    """kind, value, number, reason of every distinct value of a column: each is judged and cast once."""
     whole = parsed.where("quoting_ok and two_fields")
     distinct = (
         whole.select(F.lit("gene").alias("kind"), F.col("gene").alias("value"))
@@ -75,14 +75,19 @@ def invalid_values(parsed: DataFrame) -> DataFrame:
     )
     value = F.col("value")
     bad_gene = ~value.rlike("[A-Za-z]") | F.lower(value).isin(*MISSING)
-    number = F.when(value.rlike(SCORE), value.try_cast("double"))
-    bad_score = number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))
-    return distinct.where(F.when(F.col("kind") == "gene", bad_gene).otherwise(bad_score)).select("kind", "value", F.col("kind").alias("reason"))
+    number = F.when((F.col("kind") == "score") & value.rlike(SCORE), value.try_cast("double"))
+    number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    return distinct.select("kind", "value", number.alias("number")).select(
+        "*", F.when(F.when(F.col("kind") == "gene", bad_gene).otherwise(F.col("number").isNull()), F.col("kind")).alias("reason")
+    )
+
+
+def invalid_values(values: DataFrame) -> DataFrame:
+    """The dictionary: every distinct value that its column can't hold, with the reason."""
+    return values.where("reason is not null").select("kind", "value", "reason")
 
 
-def _judged(lines: DataFrame) -> DataFrame:
-    parsed = split_lines(lines)
-    bad = invalid_values(parsed)
+def _with_reason(parsed: DataFrame, bad: DataFrame) -> DataFrame:
     genes = bad.where("kind = 'gene'").select(F.col("value").alias("gene"), F.col("reason").alias("bad_gene"))
     scores = bad.where("kind = 'score'").select(F.col("value").alias("score"), F.col("reason").alias("bad_score"))
     # broken lines carry no values, so only whole ones meet the dictionary
@@ -100,12 +105,18 @@ def _judged(lines: DataFrame) -> DataFrame:
 
 def failing_lines(lines: DataFrame) -> DataFrame:
     """file_id, line_no, reason of the lines that fail."""
-    return _judged(lines).where("reason is not null").select("file_id", "line_no", "reason")
+    parsed = materialize(split_lines(lines))  # lines are split once
+    bad = materialize(invalid_values(judged_values(parsed)))
+    return _with_reason(parsed, bad).where("reason is not null").select("file_id", "line_no", "reason")
 
 
 def valid_rows(lines: DataFrame) -> DataFrame:
     """file_id, line_no, gene, score of the lines that hold a valid pair."""
-    return _judged(lines).where("reason is null").select("file_id", "line_no", "gene", F.col("score").try_cast("double").alias("score"))
+    parsed = materialize(split_lines(lines))
+    values = materialize(judged_values(parsed))
+    good = _with_reason(parsed, invalid_values(values)).where("reason is null").select("file_id", "line_no", "gene", "score")
+    numbers = values.where("kind = 'score' and reason is null").select(F.col("value").alias("score"), "number")
+    return good.join(numbers, "score").select("file_id", "line_no", "gene", F.col("number").alias("score"))
 
 
 #: The same rules for DuckDB (RE2 has no possessive quantifiers; none are needed there).
