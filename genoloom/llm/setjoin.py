@@ -34,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,10 +141,13 @@ NODE = "labels array<binary>, ids array<long>, sizes array<int>, lists array<boo
 PAIRS = 1 << 21
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal (prefix, item, pair) of a sorted stream as one row each; runs that can't hold a pair are left out."""
+def _nodes(depth: int, cut: bool):
+    """Neighbourhoods of a sorted stream, one row each; those that can't hold a pair are left out.
+
+    A neighbourhood is a run of equal prefixes of the depth; in a stream that is ``cut``, of equal
+    (prefix, item, pair).
+    """
     names = ("label", "class_id", "size", "has_list", "side", "before")
-    held: pa.Table | None = None
 
     def rows(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Neighbourhoods that begin at ``starts``; the last one ends with the table."""
@@ -157,31 +159,43 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not use.any():
             return
         table = table.filter(pa.array(np.repeat(use, lens)))
+        if not cut:
+            table = table.append_column("side", pa.array(np.full(table.num_rows, 2, np.int32))).append_column("before", pa.nulls(table.num_rows, pa.list_(pa.int64())))
         ends = pa.array(np.r_[0, np.cumsum(lens[use])].astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, table.column(c).combine_chunks()) for c in names]
         yield pa.RecordBatch.from_arrays(lists, ["labels", "ids", "sizes", "lists", "sides", "befores"])
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            prefix = _bytes(table.column("label").combine_chunks())[:, : 1 + 2 * depth]
+            new = np.r_[True, (prefix[1:] != prefix[:-1]).any(1)]
+            for c in ("item", "pair") if cut else ():
+                x = table.column(c).to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            starts = np.flatnonzero(new)
+            held = table.slice(int(starts[-1]))  # the last run may go on
+            yield from rows(table.slice(0, int(starts[-1])), starts[:-1])
         if held is not None:
-            table = pa.concat_tables([held, table]).combine_chunks()
-        if not table.num_rows:
-            continue
-        new = np.zeros(table.num_rows, bool)
-        for c in ("prefix", "item", "pair"):
-            x = table.column(c).combine_chunks()
-            new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
-        new[0] = True
-        starts = np.flatnonzero(new)
-        held = table.slice(int(starts[-1]))  # the last run may go on
-        yield from rows(table.slice(0, int(starts[-1])), starts[:-1])
-    if held is not None:
-        yield from rows(held, np.zeros(1, np.int64))
+            yield from rows(held, np.zeros(1, np.int64))
+
+    return run
+
+
+def _bytes(labels: pa.Array) -> np.ndarray:
+    """(label, byte); labels are of one length and never null."""
+    ends = np.frombuffer(labels.buffers()[1], np.int32)[labels.offset : labels.offset + len(labels) + 1]
+    return np.frombuffer(labels.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(labels), -1)
 
 
 def _codes(labels: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(tree, minhashes) of the labels."""
-    raw = np.frombuffer(b"".join(labels.to_pylist()), np.uint8).reshape(len(labels), -1)
+    raw = _bytes(labels)
     return raw[:, 0].astype(np.int64), np.ascontiguousarray(raw[:, 1:]).view(">u2").astype(np.uint16)
 
 
@@ -330,19 +344,18 @@ def forest(classes: DataFrame, threshold: float, depth: int, deepest: int) -> Da
     """The neighbourhoods (NODE) of all trees at a prefix of the depth, written."""
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = materialize(classes.select("class_id", "has_list", "hashes").repartition(parts).mapInArrow(_labels(deepest), LABELS))
-    entries = labels.withColumn("prefix", F.substring("label", 1, 1 + 2 * depth))
-    heavy = materialize(entries.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("prefix"))
-    whole = lambda df: df.select("*", F.lit(0).cast("long").alias("item"), F.lit(None).cast("array<long>").alias("before"), F.lit(0).alias("pair"), F.lit(2).alias("side"))
+    prefix = F.substring("label", 1, 1 + 2 * depth)
+    heavy = materialize(labels.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("prefix"))
     if heavy.isEmpty():
-        entries = whole(entries)
-    else:
-        # by rarest items: size - ceil(threshold * size) + 1 of them hold one that two sets at the threshold share
-        cut = entries.join(heavy, "prefix", "left_semi").join(rare_items(classes, threshold), "class_id")
-        cut = cut.select(*entries.columns, "rare", F.posexplode("rare").alias("at", "item")).withColumn("before", F.slice("rare", F.lit(1), F.col("at")))
-        cut = blocked(cut.drop("rare", "at").withColumn("key", F.xxhash64("prefix", "item")), "key", "class_id").drop("key")
-        entries = whole(entries.join(heavy, "prefix", "left_anti")).unionByName(cut)
-    ordered = entries.repartition(parts, "prefix", "item", "pair").sortWithinPartitions("prefix", "item", "pair", "label", "class_id")
-    return materialize(ordered.mapInArrow(_nodes, NODE))
+        return materialize(labels.repartition(parts, prefix).sortWithinPartitions("label", "class_id").mapInArrow(_nodes(depth, False), NODE))
+    light = labels.join(heavy, prefix == F.col("prefix"), "left_anti")
+    light = light.repartition(parts, prefix).sortWithinPartitions("label", "class_id").mapInArrow(_nodes(depth, False), NODE)
+    # by rarest items: size - ceil(threshold * size) + 1 of them hold one that two sets at the threshold share
+    cut = labels.join(heavy, prefix == F.col("prefix")).join(rare_items(classes, threshold), "class_id")
+    cut = cut.select("prefix", *labels.columns, "rare", F.posexplode("rare").alias("at", "item")).withColumn("before", F.slice("rare", F.lit(1), F.col("at"))).drop("rare", "at")
+    cut = blocked(cut.withColumn("key", F.xxhash64("prefix", "item")), "key", "class_id").drop("key")
+    cut = cut.repartition(parts, "prefix", "item", "pair").sortWithinPartitions("prefix", "item", "pair", "label", "class_id").drop("prefix")
+    return materialize(light.unionByName(cut.mapInArrow(_nodes(depth, True), NODE)))
 
 
 def rare_items(classes: DataFrame, threshold: float) -> DataFrame:
