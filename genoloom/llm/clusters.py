@@ -5,11 +5,9 @@ hashed to one of DIMS signed places with the weight ln(N / n), where n is the nu
 that hold the item's bucket; vectors have length 1. Seeding is parallel and oversampled: in each
 of ROUNDS passes every class joins the candidates with a chance in proportion to its squared
 distance to the candidates so far, about k a pass; candidates, weighted by the classes next to
-them, are thinned to k on the driver. LLOYD passes of Lloyd's algorithm follow. With k near
-K_FACTOR times the root of the number of classes, both the passes and the cells stay small.
-
-to them, are thinned to k on the driver. LLOYD passes of Lloyd's algorithm follow. k is K_FACTOR times the root of the number of classes,
-K_MOST at most, so what the driver and a broadcast hold is bounded and a pass is linear in the classes.
+them, are thinned to k on the driver. LLOYD passes of Lloyd's algorithm follow. k is K_FACTOR
+times the root of the number of classes, K_MOST at most, so what the driver and a broadcast hold
+is bounded and a pass is linear in the classes.
 
 A k-means cell alone would cut through groups of like records at its border, so every class goes
 into the PROBES cells of its nearest centroids. Within a cell, records of Jaccard >= ``threshold``
@@ -44,7 +42,7 @@ from genoloom.llm.setjoin import blocked
 from genoloom.runtime import clean_gene, clean_name, dense_ids, materialize, pick, release
 
 DIMS, WEIGHTS = 256, 1 << 16
-K_FACTOR, ROUNDS, LLOYD, PROBES, SEED = 4.0, 2, 3, 8, 97
+K_FACTOR, ROUNDS, LLOYD, PROBES, SEED = 3.0, 2, 3, 4, 97
 #: Bounds k: broadcasts of at most 2 MB, and the thinning on the driver.
 K_MOST = 2_048
 BLOCK, SPLITS = 3_000, 2
