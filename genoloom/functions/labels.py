@@ -134,3 +134,83 @@ def sign_of(value: Column) -> Column:
     """-1, 0 or 1; 0 for null, NaN and infinite values."""
     ok = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
     return F.when(ok, F.signum(value)).otherwise(0.0).cast("int")
+
+
+def family_display(key: Column) -> Column:
+    """A family key in title case: a letter after anything but a letter is a capital."""
+    parts = F.regexp_extract_all(F.lower(F.trim(key)), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    title = F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 20))), "")
+    return F.when(F.trim(key) == "", "Unlabeled family").otherwise(title)
+
+
+def reference_keys(name: Column) -> Column:
+    """The keys under which a set file may hold a saved label: the label, the term, the term with its source's prefix."""
+    source, term = F.regexp_extract(name, r"(?s)\A(.*?)::", 1), after_source(name)
+    plain = F.when(source.isin("WP", "KEGG", "REACTOME", "HALLMARK"), F.concat_ws("_", source, term))
+    ontology = F.concat(F.replace(source, F.lit("_"), F.lit("")), F.lit("_"))
+    ontology = F.when(source.isin("GO_BP", "GO_CC", "GO_MF"), F.when(F.startswith(term, ontology), term).otherwise(F.concat(ontology, term)))
+    return F.when(name.contains("::"), F.array_distinct(F.array_compact(F.array(name, term, plain, ontology)))).otherwise(F.array(name))
+
+
+def wrapped(text: Column, width: int = 28, mark: str = "<br>") -> Column:
+    """Text of more than ``width`` characters in lines: between words, or cut where there are none."""
+    cut, words = "\x1f", F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+    def add(done: Column, word: Column) -> Column:
+        line = F.regexp_extract(done, rf"[^{cut}]*\z", 0)
+        return F.concat(done, F.when(F.length(line) + 1 + F.length(word) <= width, " ").otherwise(cut), word)
+
+    lines = F.aggregate(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(0))), F.coalesce(F.get(words, F.lit(0)), F.lit("")), add)
+    pieces = F.regexp_replace(text, rf"(?s)(.{{{width}}})(?=.)", f"$1{cut}")
+    out = F.when(F.length(text) <= width, text).when(text.contains(" "), lines).otherwise(pieces)
+    return F.replace(out, F.lit(cut), F.lit(mark))
+
+
+#: Fixed by the report format: prefixes of a program's matched label that name its source.
+PROGRAM_SOURCES = {"GOBP": "GO BP", "KEGG": "KEGG", "HALLMARK": "HALLMARK", "REACTOME": "REACTOME", "CUSTOM": "CUSTOM"}
+
+
+def program_parts(program: Column) -> tuple[Column, Column, Column]:
+    """(head, source, phrase) of ``id__matched label``; the whole name is both where there is no label."""
+    split = program.contains("__")
+    head = F.when(split, F.regexp_extract(program, r"(?s)\A(.*?)__", 1)).otherwise(program)
+    term = F.when(split, F.regexp_replace(program, r"(?s)\A.*?__", "")).otherwise(program)
+    term = F.regexp_replace(F.regexp_replace(term, "::|-|/", "_"), "_{2,}", "_")
+    known = "|".join(PROGRAM_SOURCES)
+    found = F.regexp_extract(term, rf"\A({known})", 1)
+    names = F.create_map(*[F.lit(x) for kv in PROGRAM_SOURCES.items() for x in kv])
+    term = F.when(found == "", term).otherwise(F.regexp_replace(F.regexp_replace(term, rf"\A(?:{known})_?", ""), r"\A_+|_+\z", ""))
+    phrase = F.array_join(F.filter(F.split(term, "_"), lambda x: x != ""), " ")
+    phrase = F.when(phrase != "", phrase).otherwise(F.when(term != "", term).otherwise(program))
+    return F.replace(head, F.lit("program_"), F.lit("P")), F.coalesce(F.element_at(names, F.nullif(found, F.lit(""))), F.lit("")), phrase
+
+
+def shortened(phrase: Column, words: int, characters: int) -> Column:
+    """The first words and characters of a phrase, with dots where something is left out."""
+    tokens = F.filter(F.split(phrase, r"\s+"), lambda x: x != "")
+    few = F.when(F.size(tokens) > words, F.concat(F.array_join(F.slice(tokens, 1, words), " "), F.lit(" ..."))).otherwise(phrase)
+    return F.when(F.length(few) > characters, F.concat(F.rtrim(F.substring(few, 1, characters - 4)), F.lit(" ..."))).otherwise(few)
+
+
+def program_display(program: Column, words: int | None = None, characters: int | None = None, axis: bool = False) -> Column:
+    """A program's display name: whole, or shortened for selectors and axes."""
+    head, source, phrase = program_parts(program)
+    if words:
+        phrase = shortened(phrase, words, characters)
+    if axis:
+        return F.concat(head, F.when(source != "", F.concat(F.lit(" ("), source, F.lit(")"))).otherwise(""), F.lit(" "), phrase)
+    return F.concat(head, F.lit(" - "), F.when(source != "", F.concat(source, F.lit(": "))).otherwise(""), phrase)
+
+
+def reference_display(name: Column, words: int = 6, characters: int = 48) -> Column:
+    """A reference set's display name: the source in words, and the shortened term."""
+    source = F.regexp_extract(name, r"(?s)\A(.*?)::", 1)
+    term = F.filter(F.split(F.regexp_replace(after_source(name), "[/-]", "_"), "_"), lambda x: x != "")
+    phrase = F.when(F.size(term) > 0, shortened(F.array_join(term, " "), words, characters)).otherwise(shortened(name, 1 << 20, characters))
+    shown = F.when(source == "CUSTOM", "Custom").otherwise(source_display(source))
+    return F.when(name.contains("::") & (source != ""), F.concat(shown, F.lit(": "), phrase)).otherwise(phrase)
+
+
+def track_of(method: Column) -> Column:
+    """Whether a method is led by curated sets."""
+    return F.when(method.startswith("Curated-") | (method == "starCAT-Ref"), "reference_guided").otherwise("de_novo")

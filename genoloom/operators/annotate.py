@@ -17,7 +17,7 @@ def annotation_hits(members: DataFrame, reference: DataFrame, universe: int) ->
     Pairs without a common gene have p = 1 and count in the correction.
     """
     n_sets = reference.select("set_name").distinct().count()
-    pairs = sets.overlap(members, reference, ["program"], ["set_name"])
+    pairs = sets.overlap(members, reference, ["program"], ["set_name"], collection=True)
     k, m, q = F.col("overlap_n"), F.col("size_b"), F.col("size_a")
     pairs = pairs.withColumn("p_value", stats.fisher_greater(k, m, q, F.lit(universe)))
     pairs = pairs.withColumn("fold", k * F.lit(float(universe)) / (m * q)).withColumn("fraction", k / q)

@@ -26,12 +26,10 @@ def relabelled(df: DataFrame, label: str = "label") -> DataFrame:
 
 def kmeans_programs(vectors: DataFrame, k: int, seed: int = 42, starts: int = 3) -> DataFrame:
     """gene, label: the best of several starts of k-means."""
-    data = vectors.select("gene", array_to_vector("v").alias("features")).cache()
+    data = materialize(vectors.select("gene", "v")).select("gene", array_to_vector("v").alias("features"))
     models = [KMeans(k=k, seed=seed + i, maxIter=100).fit(data) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    out = materialize(best.transform(data).select("gene", F.col("prediction").alias("label")))
-    data.unpersist()
-    return relabelled(out)
+    return relabelled(materialize(best.transform(data).select("gene", F.col("prediction").alias("label"))))
 
 
 def spectral_programs(edges: DataFrame, k: int, iterations: int = 20) -> DataFrame:
@@ -45,39 +43,71 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
-    """gene, label: synchronous local moving on the resolution-adjusted modularity.
+def _wishes(e: DataFrame, state: DataFrame, resolution: float, m2: float) -> DataFrame:
+    """node, to: the nodes that gain by a move, with the neighbouring community of the largest gain.
 
-    In each round a node may move to the neighbouring community of the largest gain
-    w(node, C) - resolution * k_node * K_C / 2m; half of the nodes (by a keyed hash) may move in
-    a round, which keeps pairs from swapping for ever. State lives in written tables.
+    The gain of a community is w(node, C) - resolution * k_node * K_C / 2m, without the node itself.
     """
-    e = materialize(both_ways(edges.where("weight > 0")))
-    degree = materialize(e.groupBy("src").agg(F.sum("weight").alias("k")))
-    m2 = degree.agg(F.sum("k")).first()[0] or 1.0
-    state = materialize(degree.select(F.col("src").alias("gene"), F.col("src").alias("label"), "k"))
-    for r in range(rounds):
-        total = state.groupBy("label").agg(F.sum("k").alias("tot"))
-        near = e.join(state.select(F.col("gene").alias("dst"), F.col("label").alias("to")), "dst").groupBy("src", "to").agg(F.sum("weight").alias("w"))
-        gain = near.join(total.withColumnRenamed("label", "to"), "to").join(state.withColumnRenamed("gene", "src"), "src")
-        rest = F.col("tot") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0.0)
-        gain = gain.withColumn("g", F.round(F.col("w") - resolution * F.col("k") * rest / m2, 9))
-        order = Window.partitionBy("src").orderBy(F.desc("g"), F.desc(F.col("to") == F.col("label")), "to")
-        best = gain.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(F.col("src").alias("gene"), F.col("to"), F.col("label").alias("old"), "g")
-        move = (F.pmod(F.xxhash64("gene", F.lit(r)), F.lit(2)) == 0) & (F.col("g") > 0)
-        new = state.join(best, "gene", "left").select("gene", F.when(move & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("label")).alias("label"), "k", "label")
-        new = new.toDF("gene", "label", "k", "before")
-        done = materialize(new)
-        moved = done.where("label <> before").limit(1).count()
-        release(state)
-        state = done
-        if not moved and r:
+    total = state.groupBy("label").agg(F.sum("k").alias("tot"))
+    near = e.join(state.select(F.col("node").alias("dst"), F.col("label").alias("to")), "dst").groupBy("src", "to").agg(F.sum("weight").alias("w"))
+    df = near.join(total.withColumnRenamed("label", "to"), "to").join(state.withColumnRenamed("node", "src"), "src")
+    # the own community counts as one of the choices even where no neighbour is in it
+    stay = state.join(total, "label").select(F.col("node").alias("src"), F.col("label").alias("to"), F.lit(0.0).alias("w"), "tot", "label", "k")
+    df = df.select("src", "to", "w", "tot", "label", "k").unionByName(stay).groupBy("src", "to").agg(F.max("w").alias("w"), *[F.first(c).alias(c) for c in ("tot", "label", "k")])
+    rest = F.col("tot") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0.0)
+    df = df.withColumn("g", F.round(F.col("w") - resolution * F.col("k") * rest / m2, 9))
+    best = F.max(F.struct("g", F.col("to") == F.col("label"), -F.col("to") if dict(state.dtypes)["label"] != "string" else F.col("to"), "to", "label")).alias("b")
+    return df.groupBy("src").agg(best).where("b.to <> b.label").select(F.col("src").alias("node"), F.col("b.to").alias("to"))
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 200) -> DataFrame:
+    """gene, label: communities by local moving on the resolution-adjusted modularity, level by level.
+
+    In a round, of the nodes that would gain by a move a half (by a keyed hash) moves, which keeps
+    pairs from swapping for ever; a level ends when no node at all would gain. Then communities
+    become the nodes of the next level, until no two of them merge. State lives in written tables.
+    """
+    e = materialize(both_ways(edges.where("weight > 0 and src <> dst")))
+    k = e.groupBy("src").agg(F.sum("weight").alias("k"))
+    m2 = e.agg(F.sum("weight")).first()[0] or 1.0
+    state = materialize(k.select(F.col("src").alias("node"), F.col("src").alias("label"), "k"))
+    home, turn = None, 0
+    while True:
+        moved_any = False
+        for _ in range(rounds):
+            turn += 1
+            may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+            wish = state.join(_wishes(e, state, resolution, m2), "node", "left")
+            new = materialize(wish.select("node", F.when(may & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("label")).alias("label"), "k", F.col("to").isNotNull().alias("wished")))
+            still = not new.where("wished").isEmpty()
+            release(state)
+            state = new.drop("wished")
+            state._genoloom_path = new._genoloom_path
+            moved_any |= still
+            if not still:
+                break
+        now = state.select("node", "label")
+        home = materialize(now.withColumnRenamed("node", "gene") if home is None else home.join(now.toDF("label", "up"), "label").select("gene", F.col("up").alias("label")))
+        if not moved_any:
             break
-    out = relabelled(materialize(state.select("gene", "label")))
-    release(e, degree, state)
+        a, b = now.toDF("src", "a"), now.toDF("dst", "b")
+        up = materialize(e.join(a, "src").join(b, "dst").where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        grown = materialize(state.groupBy(F.col("label").alias("node")).agg(F.sum("k").alias("k")).select("node", F.col("node").alias("label"), "k"))
+        release(e, state)
+        e, state = up, grown
+    out = relabelled(home)
+    release(e, state)
     return out
 
 
+def movable(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """gene, to: the genes that would still gain by a move to another community; none after ``communities`` of one level."""
+    e = both_ways(edges.where("weight > 0 and src <> dst"))
+    k = e.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    m2 = e.agg(F.sum("weight")).first()[0] or 1.0
+    return _wishes(e, labels.select(F.col("gene").alias("node"), "label").join(k, "node"), resolution, m2).withColumnRenamed("node", "gene")
+
+
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: modularity of (gene, label) over (src, dst, weight)."""
     e = both_ways(edges)
@@ -91,11 +121,19 @@ def cooccurrence(memberships: DataFrame, weights: DataFrame) -> DataFrame:
     """src < dst, weight: the weight share of methods that put both genes into one program.
 
     memberships: method, program, gene; weights: method, weight. Pairs are formed within a
-    program only, and a method counts once for a pair.
+    program only, as one 64-bit code of dense gene numbers, and a method counts once for a pair.
     """
-    other = memberships.withColumnRenamed("gene", "dst")
-    pairs = memberships.withColumnRenamed("gene", "src").join(other, ["method", "program"]).where("src < dst").select("method", "src", "dst").distinct()
-    return pairs.join(weights, "method").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    genes = dense_ids(memberships.select("gene").distinct(), "id")
+    if genes._genoloom_rows > 1 << 31:
+        raise ValueError("more genes than a pair code holds")
+    m = memberships.join(genes, "gene").select("method", "program", "id")
+    other = m.withColumnRenamed("id", "to")
+    code = F.shiftleft("id", 32).bitwiseOR(F.col("to")).alias("code")
+    pairs = m.join(other, ["method", "program"]).where("id < to").select("method", code).distinct()
+    pairs = pairs.join(weights, "method").groupBy("code").agg(F.sum("weight").alias("weight"))
+    name = lambda i, x: genes.select(F.col("id").alias(i), F.col("gene").alias(x))
+    pairs = pairs.select(F.shiftrightunsigned("code", 32).alias("i"), F.col("code").bitwiseAND((1 << 32) - 1).alias("j"), "weight").join(name("i", "x"), "i").join(name("j", "y"), "j")
+    return pairs.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "weight")
 
 
 def strong_edges(pairs: DataFrame, quantile: float) -> DataFrame:
@@ -133,7 +171,7 @@ def _scaled(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(span)).select("gene", F.when(F.col("hi") - F.col("lo") <= 1e-12, 1.0).otherwise((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("score"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 30, tolerance: float = 1e-8, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-8, every: int = 5) -> DataFrame:
     """gene, score: PageRank over undirected weights, scaled to [0, 1]; the mass of isolated nodes is not handed on."""
     e = both_ways(edges)
     out = e.groupBy("src").agg(F.sum("weight").alias("t"))
@@ -155,9 +193,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 30, tole
     return _scaled(rank)
 
 
-def eigenvector_centrality(edges: DataFrame, iterations: int = 30, every: int = 5) -> DataFrame:
-    """gene, score: power iteration of the adjacency (with half a step kept, so that bipartite parts settle), scaled to [0, 1]."""
+def eigenvector_centrality(edges: DataFrame, iterations: int = 200, every: int = 5, tolerance: float = 1e-8) -> DataFrame:
+    """gene, score: power iteration of the adjacency (with half a step kept, so that bipartite parts settle), scaled to [0, 1].
+
+    It ends when the vector of length 1 moves by less than the tolerance (sum of absolute changes) in a check.
+    """
     e = materialize(both_ways(edges))
+    top = e.groupBy("src").agg(F.sum("weight").alias("k")).agg(F.max("k")).first()[0] or 1.0
+    e = e.withColumn("weight", F.col("weight") / top)  # keeps the iterates in range
     held = rank = materialize(e.select(F.col("src").alias("gene")).distinct().withColumn("x", F.lit(1.0)))
     for i in range(iterations):
         flow = e.join(rank.toDF("dst", "x"), "dst").groupBy(F.col("src").alias("gene")).agg(F.sum(F.col("weight") * F.col("x")).alias("m"))
@@ -165,8 +208,12 @@ def eigenvector_centrality(edges: DataFrame, iterations: int = 30, every: int =
         if (i + 1) % every == 0 or i + 1 == iterations:
             size = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s"))
             new = materialize(new.join(F.broadcast(size)).select("gene", (F.col("x") / F.col("s")).alias("x")))
+            gap = new.join(held.toDF("gene", "o"), "gene").agg(F.sum(F.abs(F.col("x") - F.col("o")))).first()[0]
             release(held)
             held = new
+            if gap is None or gap < tolerance:
+                rank = new
+                break
         rank = new
     return _scaled(rank)
 
@@ -185,7 +232,8 @@ def topological_overlap(edges: DataFrame) -> DataFrame:
 def topic_programs(counts: DataFrame, k: int, top: int, seed: int = 42, iterations: int = 10) -> DataFrame:
     """topic, gene, weight, position: LDA over documents (sample, gene, value) as bags of genes."""
     bags = counts.groupBy("sample").agg(F.flatten(F.collect_list(F.array_repeat(F.col("gene").cast("string"), F.greatest(F.round("value").cast("int"), F.lit(0))))).alias("words"))
-    vec = CountVectorizer(inputCol="words", outputCol="features", vocabSize=1 << 18).fit(bags)
+    genes = counts.select("gene").distinct().count()
+    vec = CountVectorizer(inputCol="words", outputCol="features", vocabSize=max(genes, 1)).fit(bags)  # every gene
     model = LDA(k=k, maxIter=iterations, seed=seed).fit(vec.transform(bags).select("features"))
     rows = model.describeTopics(top).select("topic", F.posexplode("termIndices").alias("position", "term"), "termWeights")
     names = counts.sparkSession.createDataFrame(list(enumerate(vec.vocabulary)), "term int, gene string")

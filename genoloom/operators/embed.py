@@ -200,3 +200,45 @@ def principal_components(vectors: DataFrame, n: int) -> DataFrame:
                 yield pd.DataFrame({"gene": frame.gene, "v": list((np.array(frame.v.tolist()) - centre) @ axes)})
 
     return vectors.select("gene", "v").mapInPandas(project, f"gene {dict(vectors.dtypes)['gene']}, v array<double>")
+
+
+def cosine_attention(vectors: DataFrame, block_rows: int = 2_000) -> DataFrame:
+    """layer, head, src, dst, w: cosines above 0 of all ordered pairs of genes as the attention of one head.
+
+    The result itself is of all pairs; each pair of blocks is one task.
+    """
+    near = neighbours(vectors, vectors.count(), block_rows)
+    return near.where("weight > 0").select(F.lit(0).alias("layer"), F.lit(0).alias("head"), "src", "dst", F.col("weight").alias("w"))
+
+
+def random_directions(n: int, dims: int, seed: int = 42) -> np.ndarray:
+    """n unit vectors; place i of vector j is the first 8 hex digits of md5(seed|j|i) over 2^31, less 1."""
+    import hashlib
+
+    draw = lambda j, i: int(hashlib.md5(f"{seed}|{j}|{i}".encode()).hexdigest()[:8], 16) / 2**31 - 1
+    x = np.array([[draw(j, i) for i in range(dims)] for j in range(n)])
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+
+
+def synthetic_counts(vectors: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
+    """sample, gene, value: for each random direction exp(cosine - smallest cosine of the direction) - 1, values above 0."""
+    dims = len(vectors.select("v").first()[0])
+    shared = vectors.sparkSession.sparkContext.broadcast(random_directions(n, dims, seed))  # n x dims numbers
+    kind = dict(vectors.dtypes)["gene"]
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                v = np.array(f["v"].tolist())
+                s = (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)) @ shared.value.T
+                yield pd.DataFrame({"gene": np.repeat(f["gene"].to_numpy(), n), "sample": np.tile(np.arange(n), len(f)), "s": s.ravel()})
+
+    s = materialize(vectors.select("gene", "v").mapInPandas(run, f"gene {kind}, sample int, s double"))
+    low = s.groupBy("sample").agg(F.min("s").alias("low"))
+    return s.join(low, "sample").select("sample", "gene", (F.exp(F.col("s") - F.col("low")) - 1).alias("value")).where("value > 0")
+
+
+def hybrid_vectors(vectors: DataFrame, expression: DataFrame, k: int = 15, steps: int = 3, alpha: float = 0.5) -> DataFrame:
+    """gene, v: the vectors of one source diffused over the neighbour graph of another, for the genes that both have."""
+    own = vectors.join(expression.select("gene"), "gene", "left_semi").select("gene", "v")
+    return diffuse(own, neighbours(expression.join(own.select("gene"), "gene", "left_semi").select("gene", "v"), k), steps, alpha)

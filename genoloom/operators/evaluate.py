@@ -158,7 +158,7 @@ def resolution_sweep(vectors: DataFrame, edges: DataFrame, resolutions: list[flo
 
 def voted_k(vectors: DataFrame, ks: list[int], n_reference: int = 5, seed: int = 42) -> DataFrame:
     """k, cost, silhouette, calinski_harabasz, gap, gap_se, votes: the three criteria vote, ties by silhouette."""
-    data = vectors.select("gene", "v", array_to_vector("v").alias("features")).cache()
+    data = materialize(vectors.select("gene", "v")).withColumn("features", array_to_vector("v"))
     size = data.count()
     span = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     lo, hi = zip(*[(r["lo"], r["hi"]) for r in span.orderBy("i").collect()])  # one row a dimension
@@ -183,7 +183,6 @@ def voted_k(vectors: DataFrame, ks: list[int], n_reference: int = 5, seed: int =
         logs = [np.log(max(KMeans(k=k, seed=seed, maxIter=20).fit(x.select(array_to_vector("v").alias("features"))).summary.trainingCost, 1e-12)) for x in boxes]
         cost = model.summary.trainingCost
         rows.append([k, cost, sil, ch or 0.0, float(np.mean(logs) - np.log(max(cost, 1e-12))), float(np.std(logs) * np.sqrt(1 + 1 / n_reference))])
-    data.unpersist()
     release(*boxes)
     votes = {k: 0 for k in ks}
     votes[max(rows, key=lambda r: r[2])[0]] += 1
@@ -215,3 +214,47 @@ def best_program_of_sets(hits: DataFrame) -> DataFrame:
     w = Window.partitionBy("set_name")
     df = hits.withColumn("k", F.row_number().over(w.orderBy("p_value", "program"))).withColumn("n_programs", F.count("*").over(w))
     return df.where("k = 1").select("set_name", "program", "p_value", "fdr", "fold", "n_programs")
+
+
+def bootstrap_stability(values: DataFrame, samples: DataFrame, discover_fn: Callable[[DataFrame], DataFrame], reference: DataFrame, rounds: int = 20, seed: int = 42) -> DataFrame:
+    """bootstrap_id, best_match_jaccard: programs refitted to samples drawn with replacement within each group, against the reference.
+
+    Draw j of group g in round b takes the sample at place md5(seed|b|g|j) mod size of the group's
+    order by name; a sample drawn again is another sample of the same values. ``discover_fn`` maps
+    (sample, gene, value) to (gene, label); reference is (program, gene). The rounds are the statistic's own.
+    """
+    part = Window.partitionBy("grp")
+    place = samples.select("sample", "grp").distinct().withColumn("i", F.row_number().over(part.orderBy("sample")) - 1).withColumn("n", F.count("*").over(part))
+    place = materialize(place)
+    out = None
+    for b in range(rounds):
+        key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(b)), F.col("grp").cast("string"), F.col("i").cast("string"))), 1, 12), 16, 10).cast("long")
+        drawn = place.select("grp", F.pmod(key, F.col("n")).alias("i"), F.concat_ws("#", F.col("grp").cast("string"), F.col("i").cast("string")).alias("as_sample"))
+        drawn = drawn.join(place.select("grp", "i", "sample"), ["grp", "i"])
+        resampled = values.join(drawn.select("sample", "as_sample"), "sample").select(F.col("as_sample").alias("sample"), "gene", "value")
+        found = materialize(discover_fn(resampled).select(F.col("label").cast("string").alias("other"), "gene"))
+        pairs = sets.best_match(sets.overlap(reference.select("program", "gene"), found, ["program"], ["other"]), ["program"], "other")
+        score = reference.select("program").distinct().join(pairs.select("program", "jaccard"), "program", "left").agg(F.coalesce(F.avg(F.coalesce("jaccard", F.lit(0.0))), F.lit(0.0)).alias("best_match_jaccard"))
+        row = score.select(F.lit(b).alias("bootstrap_id"), "best_match_jaccard")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def side_by_side(hits: DataFrame, annotated: DataFrame, reference: DataFrame, tested: DataFrame | None = None, fdr: float = 0.25) -> DataFrame:
+    """For every reference set: size, the ranked test's nes, p and FDR, and the best significant program with its annotation.
+
+    hits are those of ``annotate.annotation_hits``, annotated ``annotate.annotated_programs``, tested
+    (set_name, nes, p_value, fdr). Sets without a significant program have overlap and fold 0, p and FDR 1.
+    """
+    size = reference.select("set_name", "gene").distinct().groupBy("set_name").agg(F.count("*").alias("pathway_size"))
+    order = Window.partitionBy("set_name").orderBy(F.round("p_value", 14), "program")
+    best = hits.where(F.col("fdr") <= fdr).withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    best = best.join(annotated.select("program", "n_novel", "pathway_span"), "program").select(
+        "set_name", "program", F.col("overlap_n").alias("overlap"), F.col("p_value").alias("program_p"), F.col("fdr").alias("program_fdr"), "fold", "fraction", "n_novel", "pathway_span"
+    )
+    out = size.join(best, "set_name", "left")
+    if tested is not None:
+        out = out.join(tested.select("set_name", F.col("nes").alias("gsea_nes"), F.col("p_value").alias("gsea_p"), F.col("fdr").alias("gsea_fdr")), "set_name", "left")
+        out = out.withColumn("gsea_significant", F.coalesce(F.col("gsea_fdr") <= fdr, F.lit(False)))
+    out = out.withColumn("program_significant", F.col("program").isNotNull()).fillna({"program": "", "program_p": 1.0, "program_fdr": 1.0, "fold": 0.0, "fraction": 0.0})
+    return out.fillna(0, ["overlap", "n_novel", "pathway_span"])

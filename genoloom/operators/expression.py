@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.operators import stats
+from genoloom.runtime import dense_ids, materialize
 
 
 def log_cpm(values: DataFrame, sample: str = "sample", scale: float = 1e6) -> DataFrame:
@@ -50,29 +51,33 @@ def rank_score(de: DataFrame) -> DataFrame:
     """gene, score, rank_no: -log10 p with the sign of the change, from the top."""
     score = -F.log10(F.greatest("p_value", F.lit(1e-300))) * F.signum("logfc")
     df = de.select("gene", score.alias("score"))
-    return df.withColumn("rank_no", F.row_number().over(Window.orderBy(F.desc("score"), "gene")))
-
-
-def rank_sums(values: DataFrame, samples: DataFrame, sample: str = "sample") -> DataFrame:
-    """grp, gene, n_in, z: one-against-rest rank sums with averaged ties over all samples, zeros included."""
-    n = samples.agg(F.count("*").alias("n"))
-    sizes = samples.groupBy("grp").agg(F.count("*").alias("n_in"))
-    v = values.where("value > 0").join(samples, sample)
-    part = Window.partitionBy("gene")
-    v = v.withColumn("nz", F.count("*").over(part)).withColumn("r", stats.average_rank(["gene"], "value"))
-    v = v.withColumn("ties", F.count("*").over(Window.partitionBy("gene", "value")))
-    gene = v.groupBy("gene").agg(F.first("nz").alias("nz"), F.sum(F.col("ties") * F.col("ties") - 1.0).alias("tie"))
-    gene = gene.join(F.broadcast(n)).withColumn("zeros", F.col("n") - F.col("nz"))  # one row
+    return dense_ids(df.orderBy(F.desc("score"), "gene"), "rank_no", 1).withColumn("rank_no", F.col("rank_no").cast("int"))
+
+
+def rank_sums(values: DataFrame, samples: DataFrame, sample: str = "sample", scope: list[str] | None = None) -> DataFrame:
+    """scope..., grp, gene, n_in, z: one-against-rest rank sums with averaged ties over all samples, zeros included.
+
+    ``scope`` names columns of both sides, each value of which is a comparison of its own.
+    """
+    scope = scope or []
+    n = samples.groupBy(*scope).agg(F.count("*").alias("n"))
+    sizes = samples.groupBy(*scope, "grp").agg(F.count("*").alias("n_in"))
+    v = values.where("value > 0").join(samples, [*scope, sample])
+    part = Window.partitionBy(*scope, "gene")
+    v = v.withColumn("nz", F.count("*").over(part)).withColumn("r", stats.average_rank([*scope, "gene"], "value"))
+    v = v.withColumn("ties", F.count("*").over(Window.partitionBy(*scope, "gene", "value")))
+    gene = v.groupBy(*scope, "gene").agg(F.first("nz").alias("nz"), F.sum(F.col("ties") * F.col("ties") - 1.0).alias("tie"))
+    gene = (gene.join(n, scope) if scope else gene.join(F.broadcast(n))).withColumn("zeros", F.col("n") - F.col("nz"))  # one row a comparison
     gene = gene.withColumn("tie", F.col("tie") + F.pow("zeros", F.lit(3.0)) - F.col("zeros"))
-    own = v.groupBy("gene", "grp").agg(F.sum("r").alias("rs"), F.count("*").alias("k"))
-    df = own.join(gene, "gene").join(sizes, "grp")
+    own = v.groupBy(*scope, "gene", "grp").agg(F.sum("r").alias("rs"), F.count("*").alias("k"))
+    df = own.join(gene, [*scope, "gene"]).join(sizes, [*scope, "grp"])
     # all zeros share the lowest ranks
     total = F.col("rs") + F.col("k") * F.col("zeros") + (F.col("n_in") - F.col("k")) * (F.col("zeros") + 1) / 2
     n_, a = F.col("n").cast("double"), F.col("n_in").cast("double")
     b = n_ - a
     var = a * b / 12 * (n_ + 1 - F.col("tie") / (n_ * (n_ - 1)))
     z = F.when((var > 0) & (b > 0), (total - a * (n_ + 1) / 2) / F.sqrt(var)).otherwise(0.0)
-    return df.select("grp", "gene", "n_in", z.alias("z"))
+    return df.select(*scope, "grp", "gene", "n_in", z.alias("z"))
 
 
 def top_variance(values: DataFrame, n_samples: int, n: int) -> DataFrame:
@@ -149,3 +154,107 @@ def batch_correlation(values: DataFrame, samples: DataFrame, n_genes: int, sampl
     c = F.col
     rows = [row(True, c("n0"), c("k0"), c("r0"))] + [row(same, *(c(f"{v}{i}") - c(f"{v}{i - 1}") for v in "nkr")) for i, same in ((1, False), (2, None))]
     return x.join(F.broadcast(y)).join(F.broadcast(w)).select(F.inline(F.array(*rows))).where("n_pairs > 0")  # one row each
+
+
+def gene_correlations(values: DataFrame, n_samples: int, method: str = "pearson") -> DataFrame:
+    """src < dst, r over all samples, zeros included, of the genes that share a sample; r is 0 for a constant gene.
+
+    For ranks (spearman, values of 0 and more) a gene's zeros share their mean rank, which is taken
+    from all of its ranks: that changes no correlation and leaves the zeros out of the join. The r of
+    genes without a common sample follows from ``moments`` alone.
+    """
+    if method not in ("pearson", "spearman"):
+        raise ValueError(f"no correlation {method!r}; there are 'pearson' and 'spearman'")
+    x = values.select("sample", "gene", F.col("value").cast("double").alias("x")).where("x <> 0")
+    if method == "spearman":
+        # rank among all values: the zeros come first; less the zeros' own mean rank
+        zeros = F.lit(n_samples) - F.count("*").over(Window.partitionBy("gene"))
+        x = x.select("sample", "gene", (stats.average_rank(["gene"], "x") + zeros - (zeros + 1) / 2.0).alias("x"))
+    x = materialize(x)
+    m = x.groupBy("gene").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    other = x.select("sample", F.col("gene").alias("dst"), F.col("x").alias("y"))
+    dots = x.withColumnRenamed("gene", "src").join(other, "sample").where("src < dst").groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    side = lambda g, a: m.select(F.col("gene").alias(g), F.col("s").alias(f"s{a}"), F.greatest(F.col("q") - F.col("s") * F.col("s") / n_samples, F.lit(0.0)).alias(f"v{a}"))
+    df = dots.join(side("src", "x"), "src").join(side("dst", "y"), "dst")
+    cov, size = F.col("xy") - F.col("sx") * F.col("sy") / n_samples, F.sqrt(F.col("vx")) * F.sqrt(F.col("vy"))
+    return df.select("src", "dst", F.when((F.col("vx") > 1e-24) & (F.col("vy") > 1e-24), cov / size).otherwise(0.0).alias("r"))
+
+
+def rank_value_tokens(counts: DataFrame, longest: int = 2048, cell: str = "cell") -> DataFrame:
+    """cell, gene, position: the genes of positive value in falling order, ties by gene, as many as a model's input holds."""
+    order = Window.partitionBy(cell).orderBy(F.desc("value"), "gene")
+    return counts.where("value > 0").withColumn("position", F.row_number().over(order)).where(F.col("position") <= longest).select(cell, "gene", "position")
+
+
+def mapped_identifiers(names: DataFrame, tokens: DataFrame, synonyms: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
+    """gene, token, how of the names that a vocabulary (id, token) knows.
+
+    Looked up in this order: the name itself, the id of the synonyms (name, id), the id of the
+    table's own column (name, id), the name in upper case. A name's first synonym by id counts.
+    """
+    n, t = names.select("gene").distinct(), tokens.groupBy("id").agg(F.min("token").alias("token"))
+    steps = [("name", n.select("gene", F.col("gene").alias("id")))]
+    for how, table in (("synonym", synonyms), ("own", own)):
+        if table is not None:
+            steps.append((how, n.join(table.groupBy(F.col("name").alias("gene")).agg(F.min("id").alias("id")), "gene")))
+    steps.append(("upper", n.select("gene", F.upper("gene").alias("id"))))
+    found = None
+    for place, (how, ids) in enumerate(steps):
+        hit = ids.join(t, "id").select("gene", F.struct(F.lit(place).alias("place"), F.col("token"), F.lit(how).alias("how")).alias("x"))
+        found = hit if found is None else found.unionByName(hit)
+    return found.groupBy("gene").agg(F.min("x").alias("x")).select("gene", "x.token", "x.how")
+
+
+def symbols_for(names: DataFrame, table: DataFrame) -> DataFrame:
+    """gene, symbol: (id, symbol) of the table where it has the name, without its version (.n), else the name."""
+    t = table.where("symbol is not null and symbol <> ''").groupBy("id").agg(F.min("symbol").alias("symbol"))
+    df = names.select("gene").distinct().withColumn("id", F.regexp_replace("gene", r"\.[0-9]+\z", ""))
+    return df.join(t, "id", "left").select("gene", F.coalesce("symbol", "gene").alias("symbol"))
+
+
+def median_scaled(values: DataFrame, samples: DataFrame) -> DataFrame:
+    """(sample, gene, value) scaled to the median library size (an empty one counts 1) and log1p; a gene with values below 0 is first moved up to 0.
+
+    Only genes with negative values become dense, as their zeros move too.
+    """
+    low = values.groupBy("gene").agg(F.min("value").alias("low")).where("low < 0")
+    dense = low.join(samples.select("sample").distinct(), F.lit(True)).join(values, ["gene", "sample"], "left")  # few genes, all samples
+    moved = dense.select("sample", "gene", (F.coalesce("value", F.lit(0.0)) - F.col("low")).alias("value"))
+    x = values.join(low, "gene", "left_anti").select("sample", "gene", F.col("value").cast("double").alias("value")).unionByName(moved).where("value > 0")
+    lib = samples.select("sample").distinct().join(x.groupBy("sample").agg(F.sum("value").alias("t")), "sample", "left").select("sample", F.coalesce(F.nullif("t", F.lit(0.0)), F.lit(1.0)).alias("t"))
+    mid = lib.agg(F.median("t").alias("mid"))
+    return x.join(lib, "sample").join(F.broadcast(mid)).select("sample", "gene", F.log1p(F.col("value") / F.col("t") * F.col("mid")).alias("value"))  # one row
+
+
+def top_dispersion(values: DataFrame, n_samples: int, n: int) -> DataFrame:
+    """gene, dispersion, position of the n genes of largest variance over mean, zeros included."""
+    mean = F.sum("value") / n_samples
+    var = F.sum(F.col("value") * F.col("value")) / n_samples - mean * mean
+    df = values.groupBy("gene").agg(F.when(mean == 0, var).otherwise(var / mean).alias("dispersion"))
+    order = Window.orderBy(F.desc(F.round("dispersion", 9)), "gene")  # one row a gene
+    return df.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
+
+
+def markers(values: DataFrame, samples: DataFrame, n: int = 50) -> DataFrame:
+    """grp, gene, z, p_value, fdr, log2_fold, position: the n genes of largest rank-sum z of each group against the rest.
+
+    The fold is that of the mean values, zeros included, with 1e-9 added to both.
+    """
+    z = rank_sums(values, samples)
+    total = samples.agg(F.count("*").alias("n_all"))
+    size = samples.groupBy("grp").agg(F.count("*").alias("n_grp")).join(F.broadcast(total))  # one row
+    own = values.join(samples, "sample").groupBy("grp", "gene").agg(F.sum("value").alias("s"))
+    every = values.join(samples.select("sample"), "sample", "left_semi").groupBy("gene").agg(F.sum("value").alias("t"))
+    df = z.join(own, ["grp", "gene"], "left").join(every, "gene", "left").join(size, "grp").fillna(0, ["s", "t"])
+    inside, rest = F.col("s") / F.col("n_grp"), F.try_divide(F.col("t") - F.col("s"), F.col("n_all") - F.col("n_grp"))
+    df = df.withColumn("log2_fold", F.log2((inside + 1e-9) / (F.coalesce(rest, F.lit(0.0)) + 1e-9))).withColumn("p_value", stats.normal_two_sided("z"))
+    df = stats.bh(df, "p_value", "fdr", ["grp"], ["gene"])
+    order = Window.partitionBy("grp").orderBy(F.desc(F.round("z", 9)), "gene")
+    return df.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n).select("grp", "gene", "z", "p_value", "fdr", "log2_fold", "position")
+
+
+def mitochondrial_share(counts: DataFrame, cell: str = "cell", prefix: str = "MT-") -> DataFrame:
+    """cell, n_genes, total, mito_share: the share of a cell's counts on genes of the prefix, in any case."""
+    mito = F.upper(F.col("gene").cast("string")).startswith(prefix)
+    out = counts.where("value > 0").groupBy(cell).agg(F.count("*").alias("n_genes"), F.sum("value").alias("total"), F.sum(F.when(mito, F.col("value")).otherwise(0)).alias("m"))
+    return out.select(cell, "n_genes", "total", (F.col("m") / F.col("total")).alias("mito_share"))

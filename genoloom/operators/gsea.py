@@ -112,8 +112,8 @@ def _orders(genes: list[str], perm: int, seed: int) -> np.ndarray:
     return place
 
 
-def _null(n_perm: int, seed: int):
-    """For a chunk of packed lists and a block of permutations: same-sign counts and sums of each set."""
+def _null(done: int, n_perm: int, seed: int):
+    """For a chunk of packed lists and a block of the permutations done + 1 to n_perm: same-sign counts and sums of each set."""
 
     def counted(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -144,7 +144,7 @@ def _null(n_perm: int, seed: int):
         up, big = ~(es < 0), np.round(np.abs(es), 12)
         n_same, n_extreme, total = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64), np.zeros(len(m))
         width = int(n_genes.max()) + 1
-        for perm in range(1 + block, n_perm + 1, PERM_BLOCKS):
+        for perm in range(done + 1 + block, n_perm + 1, PERM_BLOCKS):
             order = np.argsort(owner * len(genes) + _orders(genes, perm, seed)[code])
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order)) - start[owner] + 1
@@ -194,27 +194,67 @@ def preranked(
     keys = [*lists, set_key]
     if raised and weight is None:
         n_perm = permutations(n_perm, sets.select(set_key).distinct().count())
+    genes, observed = _observed(ranked, sets, lists, set_key, least, weight)
+    null = _null_counts(genes, observed, 0, n_perm, seed)
+    return _tested(observed.join(null, ["list", "set"]).withColumn("done", F.lit(n_perm)), keys, lists, set_key, F.lit(0.0) if weight else F.col("es"))
+
+
+def _observed(ranked: DataFrame, sets: DataFrame, lists: list[str], set_key: str, least: int, weight: str | None) -> tuple[DataFrame, DataFrame]:
+    """(list, genes) and (list, set, n_hits, es, places), written."""
     hit = hits(ranked, sets, set_key, least, weight)
-    observed = materialize(enrichment_scores(hit, keys).select(F.struct(*lists).alias("list"), F.col(set_key).alias("set"), "n_hits", "es"))
-    own = hit.select(F.struct(*lists).alias("list"), F.col(set_key).alias("set"), F.struct("rank_no", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight")).alias("place"))
-    own = own.groupBy("list", "set").agg(F.collect_list("place").alias("places")).join(observed, ["list", "set"])
-    own = own.groupBy("list").agg(F.collect_list(F.struct("set", "es", F.col("n_hits").alias("size"), "places")).alias("hits"))
+    scores = enrichment_scores(hit, [*lists, set_key]).select(F.struct(*lists).alias("list"), F.col(set_key).alias("set"), "n_hits", "es")
+    place = F.struct("rank_no", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight")).alias("place")
+    own = hit.select(F.struct(*lists).alias("list"), F.col(set_key).alias("set"), place).groupBy("list", "set").agg(F.collect_list("place").alias("places"))
     packed = ranked.select(F.struct(*lists).alias("list"), F.struct("rank_no", F.col("gene").cast("string").alias("gene"), F.abs("score").cast("double").alias("score")).alias("g"))
-    packed = packed.groupBy("list").agg(F.array_sort(F.collect_list("g")).alias("genes")).join(own, "list")
-    packed = materialize(packed)
+    return materialize(packed.groupBy("list").agg(F.array_sort(F.collect_list("g")).alias("genes"))), materialize(scores.join(own, ["list", "set"]))
+
+
+def _null_counts(genes: DataFrame, observed: DataFrame, done: int, n_perm: int, seed: int) -> DataFrame:
+    """list, set, n_same, n_extreme, total over the permutations done + 1 to n_perm."""
+    own = observed.groupBy("list").agg(F.collect_list(F.struct("set", "es", F.col("n_hits").alias("size"), "places")).alias("hits"))
+    packed = materialize(genes.join(own, "list"))
     rows = packed.agg(F.sum(F.size("genes"))).first()[0] or 0
     chunk = F.pmod(F.xxhash64("list"), F.lit(-(-rows // CHUNK_ROWS) or 1)).alias("chunk")
-    spread = packed.select("list", "genes", "hits", chunk, F.explode(F.sequence(F.lit(0), F.lit(min(n_perm, PERM_BLOCKS) - 1))).alias("block"))
+    spread = packed.select("list", "genes", "hits", chunk, F.explode(F.sequence(F.lit(0), F.lit(min(n_perm - done, PERM_BLOCKS) - 1))).alias("block"))
     spread = spread.repartition(4 * PERM_BLOCKS, "chunk", "block")
-    kinds = {c: f.dataType.simpleString() for c, f in zip(("list", "set"), (observed.schema["list"], observed.schema["set"]))}
-    null = spread.groupBy("chunk", "block").applyInArrow(_null(n_perm, seed), f"list {kinds['list']}, set {kinds['set']}, n_same long, n_extreme long, total double")
-    null = null.groupBy("list", "set").agg(F.sum("n_same").alias("n_same"), F.sum("n_extreme").alias("n_extreme"), F.sum("total").alias("total"))
-    out = observed.join(null, ["list", "set"])
-    p = F.greatest(F.coalesce(F.try_divide(F.col("n_extreme"), F.col("n_same")), F.lit(0.0)), F.lit(1.0 / (n_perm + 1)))
+    kinds = {c: observed.schema[c].dataType.simpleString() for c in ("list", "set")}
+    null = spread.groupBy("chunk", "block").applyInArrow(_null(done, n_perm, seed), f"list {kinds['list']}, set {kinds['set']}, n_same long, n_extreme long, total double")
+    return null.groupBy("list", "set").agg(F.sum("n_same").alias("n_same"), F.sum("n_extreme").alias("n_extreme"), F.sum("total").alias("total"))
+
+
+def _tested(counts: DataFrame, keys: list[str], lists: list[str], set_key: str, empty: Column) -> DataFrame:
+    """es, nes, p_value and fdr from the counts over ``done`` permutations; ``empty`` is the NES without a null."""
+    p = F.greatest(F.coalesce(F.try_divide(F.col("n_extreme"), F.col("n_same")), F.lit(0.0)), 1.0 / (F.col("done") + 1))
     mean = F.coalesce(F.try_divide("total", "n_same"), F.lit(0.0))
-    nes = F.when(mean > 0, F.col("es") / mean).otherwise(F.lit(0.0) if weight else F.col("es"))
-    out = out.select("list.*", F.col("set").alias(set_key), "n_hits", "es", nes.alias("nes"), p.alias("p_value"))
-    return bh(out, "p_value", "fdr", lists, [set_key])
+    nes = F.when(mean > 0, F.col("es") / mean).otherwise(empty)
+    out = counts.select("list.*", F.col("set").alias(set_key), "n_hits", "es", nes.alias("nes"), F.least(p, F.lit(1.0)).alias("p_value"), F.col("done").alias("n_perm"))
+    return bh(out, "p_value", "fdr", lists, [set_key]).select(*keys, "n_hits", "es", "nes", "p_value", "fdr", *(["n_perm"] if "rounds" in counts.columns else []))
+
+
+def preranked_adaptive(
+    ranked: DataFrame, sets: DataFrame, lists: list[str], set_key: str, n_perm: int = 1000, batch: int = 200, enough: int = 50, least: int = 3, seed: int = 42, fewest: int = 100
+) -> DataFrame:
+    """As ``preranked`` (with n_perm, the permutations done), but a set leaves once its p-value is settled.
+
+    Permutations come in batches; a set with ``enough`` extreme ones of its sign after at least
+    ``fewest`` takes no part in the next batch, so the long run is left to the few sets of small p.
+    """
+    keys = [*lists, set_key]
+    genes, observed = _observed(ranked, sets, lists, set_key, least, None)
+    state, active, done, settled = None, observed, 0, None
+    while done < n_perm:
+        upto = min(done + batch, n_perm)
+        new = _null_counts(genes, active, done, upto, seed)
+        if state is not None:
+            new = new.unionByName(state).groupBy("list", "set").agg(*[F.sum(c).alias(c) for c in ("n_same", "n_extreme", "total")])
+        new, done = materialize(new.withColumn("done", F.lit(upto))), upto
+        ready = (F.col("n_extreme") >= enough) & F.lit(done >= fewest) | F.lit(done >= n_perm)
+        settled = new.where(ready) if settled is None else settled.unionByName(new.where(ready))
+        state = new.where(~ready).drop("done")
+        active = materialize(observed.join(state.select("list", "set"), ["list", "set"], "left_semi"))
+        if active.isEmpty():
+            break
+    return _tested(observed.join(settled, ["list", "set"]).withColumn("rounds", F.lit(1)), keys, lists, set_key, F.col("es"))
 
 
 def effect_sizes(ranked: DataFrame, sets: DataFrame, lists: list[str], set_key: str) -> DataFrame:

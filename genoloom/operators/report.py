@@ -122,3 +122,42 @@ def curated_panel(enrichment: DataFrame, overlaps: DataFrame, anchor_program: st
     rest = enrichment.select("set_name", F.lit(1).alias("tier"), F.row_number().over(order).alias("o"))
     both = near.unionByName(rest).groupBy("set_name").agg(F.min(F.struct("tier", "o")).alias("k"))
     return both.withColumn("position", F.row_number().over(Window.orderBy("k"))).where(F.col("position") <= n).select("set_name", "position")
+
+
+def annotation_report(hits: DataFrame, annotated: DataFrame, novel: DataFrame, fdr: float = 0.25, title: str = "Multi-pathway annotation") -> DataFrame:
+    """part, line: a text report as rows, the head first, then the programs by falling score (ties by name), the lines of a program in one row.
+
+    novel: (program, gene) of the genes that no significant set covers; the first ten are named.
+    """
+    a = annotated
+    head = a.agg(F.count("*").alias("n"), *[F.count(F.when(c, 1)).alias(x) for x, c in (("multi", F.col("pathway_span") >= 2), ("one", F.col("pathway_span") == 1), ("none", F.col("pathway_span") == 0))])
+    text = F.concat_ws("\n", F.lit(title), F.format_string("Programs: %d", "n"), F.format_string("  of several pathways: %d", "multi"), F.format_string("  of one pathway: %d", "one"), F.format_string("  novel only: %d", "none"))
+    rows = hits.where(F.col("fdr") <= fdr).withColumn(
+        "text", F.format_string("    %s: %d genes (p=%.2e, FDR=%.3f, fold=%.1f, %.0f%% of program)", "set_name", F.col("overlap_n").cast("long"), "p_value", "fdr", "fold", F.col("fraction") * 100)
+    )
+    rows = rows.groupBy("program").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_value", "set_name", "text"))), lambda x: x["text"]), "\n").alias("pathways"))
+    order = Window.partitionBy("program").orderBy("gene")
+    n = novel.withColumn("k", F.row_number().over(order)).groupBy("program").agg(F.count("*").alias("n_new"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 10, F.col("gene")))), ", ").alias("names"))
+    n = n.withColumn("names", F.concat(F.lit("  Novel genes: "), "names", F.when(F.col("n_new") > 10, F.format_string(" (+%d more)", F.col("n_new") - 10)).otherwise("")))
+    one = a.join(rows, "program", "left").join(n, "program", "left")
+    line = F.concat_ws(
+        "\n", F.concat(F.lit("Program: "), "program"), F.format_string("  Size: %d genes", F.col("n_genes").cast("long")), F.format_string("  Pathway span: %d", F.col("pathway_span").cast("long")),
+        F.format_string("  Multi-pathway score: %.2f", "multi_pathway_score"), F.format_string("  Novelty: %.1f%%", F.col("novelty") * 100),
+        F.when(F.col("pathways").isNotNull(), F.concat(F.lit("  Significant pathways:\n"), "pathways")), F.col("names"),
+    )
+    place = F.row_number().over(Window.orderBy(F.desc(F.round("multi_pathway_score", 9)), "program"))  # one row a program
+    return head.select(F.lit(0).alias("part"), text.alias("line")).unionByName(one.select(place.alias("part"), line.alias("line")))
+
+
+def run_summary(run: dict[str, object], de: DataFrame, programs: DataFrame, gates: DataFrame, alpha: float = 0.05, stability: tuple[float, float, float] | None = None, best: int = 10) -> str:
+    """The digest of a run in Markdown: counts, the gates, and the ``best`` programs by FDR, which is what comes to the driver."""
+    n_de, n_sig = de.agg(F.count("*"), F.count(F.when(F.col("fdr") <= alpha, 1))).first()
+    n, ok = gates.agg(F.count("*"), F.count(F.when(F.col("claim_supported"), 1))).first()
+    top = gates.orderBy(F.asc_nulls_last("fdr"), "program").limit(best).collect()  # the list's length is the feature
+    lines = ["# Run summary", "", "## Run", *(f"- {k}: {v}" for k, v in run.items())]
+    lines += [f"- Genes used: {n_de}", f"- Programs: {programs.select('program').distinct().count()}", f"- Changed genes (FDR <= {alpha}): {n_sig}", "", "## Claims", f"- Supported programs: {ok}/{n}"]
+    if stability is not None:
+        lines.append("- Bootstrap stability (mean best-match Jaccard): {:.3f} (95% CI {:.3f}-{:.3f})".format(*stability))
+    lines += ["", "## Programs by FDR"]
+    lines += [f"- {r['program']}: NES={r['nes']:.3f}, p={r['p_value']:.3g}, FDR={r['fdr']:.3g}, supported={bool(r['claim_supported'])}" for r in top] or ["- None."]
+    return "\n".join(lines) + "\n"

@@ -27,12 +27,21 @@ def with_sizes(members: DataFrame, keys: list[str], name: str) -> DataFrame:
     return members.groupBy(*keys).agg(F.count("*").alias(name))
 
 
-def overlap(left: DataFrame, right: DataFrame, a: list[str], b: list[str], on: list[str] | None = None) -> DataFrame:
+#: Memberships of a collection that may travel to every task, some 10 MB.
+SMALL_ROWS = 200_000
+
+
+def overlap(left: DataFrame, right: DataFrame, a: list[str], b: list[str], on: list[str] | None = None, collection: bool = False) -> DataFrame:
     """a..., b..., overlap_n, size_a, size_b, jaccard of all pairs with a common gene.
 
-    ``on`` names scope columns of both sides that must agree besides the gene.
+    ``on`` names scope columns of both sides that must agree besides the gene. With ``collection``
+    the right side may be small: if it has at most SMALL_ROWS rows, it goes to the sets of the left,
+    each of which stays in one task, and neither a hot gene nor the pairs are shuffled; otherwise
+    both sides meet by gene, and skewed genes are split at run time.
     """
     on = on or []
+    if collection and right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        left, right = left.repartition(*on, *a), F.broadcast(right)
     sizes_a, sizes_b = with_sizes(left, on + a, "size_a"), with_sizes(right, on + b, "size_b")
     pairs = left.join(right, [*on, "gene"]).groupBy(*on, *a, *b).agg(F.count("*").alias("overlap_n"))
     out = pairs.join(sizes_a, on + a).join(sizes_b, on + b)

@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoloom.operators import annotate, discover, embed, expression, gsea, report, sets, stats
+from genoloom.operators import annotate, discover, embed, enrich, expression, gsea, report, sets, stats
 from genoloom.runtime import materialize
 from genoloom.sources import gmt, tables
 
@@ -68,7 +68,7 @@ def discovery(values: DataFrame, samples: DataFrame, references: DataFrame, conf
 
     de = materialize(expression.two_group_test(values, samples, (config.group_a, config.group_b)))
     ranked = materialize(gsea.ranking(expression.rank_score(de).select("gene", "score").withColumn("l", F.lit(1)), ["l"]))
-    overlaps = sets.overlap(members, references.select("set_name", "gene").distinct(), ["program"], ["set_name"]).withColumnsRenamed({"size_a": "program_n", "size_b": "reference_n"})
+    overlaps = sets.overlap(members, references.select("set_name", "gene").distinct(), ["program"], ["set_name"], collection=True).withColumnsRenamed({"size_a": "program_n", "size_b": "reference_n"})
     tested = gsea.preranked(ranked, members, ["l"], "program", config.n_perm, 1, config.seed).drop("l")
     changed = de.where(F.col("fdr") <= config.fdr).select("gene")
     if changed.isEmpty():
@@ -139,26 +139,28 @@ def power(values: DataFrame, samples: DataFrame, members: DataFrame, target: str
     """fold, tpr with its Wilson interval, fpr: how often a spiked program is found, and others with it.
 
     In a replicate the samples first in md5(seed|replicate|sample) are treated and the target's
-    genes multiplied there; the top genes by rank-sum are tested against every program.
+    genes multiplied there; the top genes by rank-sum are tested against every program. Replicates
+    and folds are columns of one plan.
     """
-    size = samples.select("sample").distinct().count()
-    genes = values.select("gene").distinct()
-    n_genes = genes.count()
-    rows = []
-    for rep in range(replicates):
-        key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(rep)), F.col("sample").cast("string")))
-        n_treated = max(2, round(treated_share * size))
-        grp = materialize(samples.select("sample").distinct().withColumn("k", F.row_number().over(Window.orderBy(key))).select("sample", F.when(F.col("k") <= n_treated, "treated").otherwise("control").alias("grp")))
-        spiked = members.where(F.col("program") == target).select("gene").withColumn("hit", F.lit(True))
-        for fold in folds:
-            factor = F.when(F.col("hit") & (F.col("grp") == "treated"), float(fold)).otherwise(1.0)
-            moved = values.join(grp, "sample").join(spiked, "gene", "left").select("sample", "gene", (F.col("value") * factor).alias("value"))
-            z = expression.rank_sums(moved, grp).where("grp = 'treated'")
-            query = z.orderBy(F.desc("z"), "gene").limit(min(top, n_genes)).select("gene")  # the tested list's size
-            tested = fisher(members, query, genes).select((F.col("program") == target).alias("own"), (F.col("fdr") <= alpha).alias("found"))
-            r = tested.agg(F.max(F.when(F.col("own"), F.col("found").cast("int"))).alias("tp"), F.avg(F.when(~F.col("own"), F.col("found").cast("double"))).alias("fp")).first()
-            rows.append((float(fold), int(r["tp"] or 0), float(r["fp"] or 0.0)))
-    df = values.sparkSession.createDataFrame(rows, "fold double, tp int, fp double").groupBy("fold").agg(F.sum("tp").alias("k"), F.count("*").alias("n"), F.avg("fp").alias("fpr"))
+    one = samples.select("sample").distinct()
+    n_treated = max(2, round(treated_share * one.count()))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("sample").cast("string")))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(key, "sample"))
+    grp = one.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", place)
+    grp = materialize(grp.select("rep", "sample", F.when(F.col("k") <= n_treated, "treated").otherwise("control").alias("grp")))
+    spiked = members.where(F.col("program") == target).select("gene").distinct().withColumn("hit", F.lit(True))
+    every = F.explode(F.array(*[F.lit(float(x)) for x in folds])).alias("fold")
+    factor = F.when(F.col("hit") & (F.col("grp") == "treated"), F.col("fold")).otherwise(1.0)
+    moved = values.join(spiked, "gene", "left").join(grp, "sample").select("rep", "sample", "gene", "hit", "grp", "value", every)
+    moved = moved.select("rep", "sample", F.struct("fold", "gene").alias("gene"), (F.col("value") * factor).alias("value"))
+    z = expression.rank_sums(moved, grp, scope=["rep"]).where("grp = 'treated'").select("rep", "gene.*", "z")
+    best = F.row_number().over(Window.partitionBy("rep", "fold").orderBy(F.desc("z"), "gene"))
+    query = z.withColumn("k", best).where(F.col("k") <= top).select("rep", "fold", "gene")  # the tested list's size
+    universe = values.select("gene").distinct().select("gene", every).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    tested = enrich.fisher_lists(query, members.withColumnRenamed("program", "set_name"), universe, ["rep", "fold"], "set_name")
+    own, found = F.col("set_name") == target, F.col("fdr") <= alpha
+    run = tested.groupBy("rep", "fold").agg(F.max(F.when(own, found.cast("int"))).alias("tp"), F.avg(F.when(~own, found.cast("double"))).alias("fp"))
+    df = run.groupBy("fold").agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("k"), F.count("*").alias("n"), F.avg(F.coalesce("fp", F.lit(0.0))).alias("fpr"))
     lo, hi = stats.wilson(F.col("k"), F.col("n"))
     return df.select("fold", (F.col("k") / F.col("n")).alias("tpr"), lo.alias("tpr_lo"), hi.alias("tpr_hi"), "fpr")
 
@@ -173,7 +175,7 @@ def method_table(memberships: DataFrame, references: DataFrame) -> DataFrame:
     genes = ref.select("gene").distinct()
     n_ref = genes.count()
     cover = m.select("method", "gene").distinct().join(genes, "gene", "left_semi").groupBy("method").agg((F.count("*") / n_ref).alias("coverage"))
-    best = sets.best_match(sets.overlap(m, ref, ["method", "program"], ["set_name"]), ["method", "program"], "set_name")
+    best = sets.best_match(sets.overlap(m, ref, ["method", "program"], ["set_name"], collection=True), ["method", "program"], "set_name")
     align = m.select("method", "program").distinct().join(best.select("method", "program", "jaccard"), ["method", "program"], "left").groupBy("method").agg(F.avg(F.coalesce("jaccard", F.lit(0.0))).alias("alignment"))
     out = sets.mean_pairwise_jaccard(m, ["method"], "program").withColumnRenamed("n_sets", "n_programs")
     out = out.join(sets.novelty(m, ref, ["method"]).select("method", "novelty"), "method").join(sets.specificity(m, ["method"], "program").select("method", "specificity"), "method")

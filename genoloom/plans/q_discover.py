@@ -52,12 +52,13 @@ def neighbour_graph(s, d):
 @query(_KNN + """, t as (select src, dst, case when sum(weight) over (partition by src) > 0 then weight / sum(weight) over (partition by src) else 1.0 / count(*) over (partition by src) end as t from kn),
  x0 as (select gene, unnest(range(0, len(v))) as i, unnest(v) as x from emb),
  x1 as (select x0.gene, x0.i, 0.5 * any_value(x0.x) + 0.5 * sum(t * y.x) as x from x0 join t on t.src = x0.gene join x0 y on y.gene = t.dst and y.i = x0.i group by 1, 2),
- x2 as (select x1.gene, x1.i, 0.5 * any_value(x1.x) + 0.5 * sum(t * y.x) as x from x1 join t on t.src = x1.gene join x1 y on y.gene = t.dst and y.i = x1.i group by 1, 2)
-select gene, round(sqrt(sum(x * x)), 6) as length, round(sum(x * (i + 1)), 6) as moment from x2 group by 1""")
+ x2 as (select x1.gene, x1.i, 0.5 * any_value(x1.x) + 0.5 * sum(t * y.x) as x from x1 join t on t.src = x1.gene join x1 y on y.gene = t.dst and y.i = x1.i group by 1, 2),
+ x3 as (select x2.gene, x2.i, 0.5 * any_value(x2.x) + 0.5 * sum(t * y.x) as x from x2 join t on t.src = x2.gene join x2 y on y.gene = t.dst and y.i = x2.i group by 1, 2)
+select gene, round(sqrt(sum(x * x)), 6) as length, round(sum(x * (i + 1)), 6) as moment from x3 group by 1""")
 def diffused_vectors(s, d):
-    """Two diffusion steps; the vectors come out as their length and a weighted sum."""
+    """Three diffusion steps; the vectors come out as their length and a weighted sum."""
     v = f.embeddings(s, d).select("gene", "v")
-    out = embed.diffuse(v, embed.neighbours(v, K), 2)
+    out = embed.diffuse(v, embed.neighbours(v, K), 3)
     moment = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return out.select("gene", F.round(embed.norm(F.col("v")), 6).alias("length"), F.round(moment, 6).alias("moment"))
 
@@ -169,14 +170,26 @@ def attention_graph(s, d):
     return discover.head_average(attention(s, d)).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+_SCALE = "select gene, round(case when max(x) over () - min(x) over () <= 1e-12 then 1 else (x - min(x) over ()) / (max(x) over () - min(x) over ()) end, 5) as score from f"
+_WALK = "with recursive " + _ATT + """, b as (select src, dst, weight from ed union all select dst, src, weight from ed), t as (select src, sum(weight) as t from b group by 1), n as (select count(*) as n, max(t) as top from t)"""
+
+
+def _rounded(df):
+    return df.withColumn("score", F.round("score", 5))
+
+
+@query(_WALK + """, st as (select b.src, dst, weight / t as p from b join t using (src)),
+ r as (select 0 as i, src as gene, (1.0 / n)::double as x from t, n union all select i + 1, dst, any_value(0.15 / n) + 0.85 * sum(p * x) from r join st on st.src = r.gene, n where i < 100 group by i, dst),
+ f as (select gene, x from r where i = 100) """ + _SCALE)
 def attention_pagerank(s, d):
-    return discover.pagerank(discover.head_average(attention(s, d)), iterations=20)
+    return _rounded(discover.pagerank(discover.head_average(attention(s, d))))
 
 
-@query()
+@query(_WALK + """, r as (select 0 as i, src as gene, (1 / sqrt(n))::double as x from t, n union all
+   select i, gene, y / sqrt(sum(y * y) over ()) from (select i + 1 as i, gene, sum(y) as y from (select i, dst as gene, weight / top * x as y from r join b on b.src = r.gene, n where i < 200 union all select i, gene, x from r where i < 200) group by i, gene)),
+ f as (select gene, x from r where i = 200) """ + _SCALE)
 def attention_eigenvector(s, d):
-    return discover.eigenvector_centrality(discover.head_average(attention(s, d)), iterations=20)
+    return _rounded(discover.eigenvector_centrality(discover.head_average(attention(s, d))))
 
 
 @query(f.with_(_ATT) + """, lb as (select p_partkey as gene, p_brand as label from part), bt as (select src, dst, weight from ed union all select dst, src, weight from ed),
@@ -217,7 +230,7 @@ def topic_programs(s, d):
 
 @query()
 def factor_programs(s, d):
-    return discover.factor_programs(f.expression(s, d), 8, 25, 8)
+    return discover.factor_programs(f.expression(s, d), 8, 25)
 
 
 @query(f.with_(f.EXPRESSION) + """, n as (select count(*) as n from supplier), tg as (select p_brand as topic, p_partkey as gene from part qualify row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) <= 10),

@@ -95,19 +95,22 @@ def gsea_leading_edge(s, d):
 PERMS = 100
 
 
-@query(_HITS + f""", pm as (select file_id, perm, gene, n_genes, row_number() over (partition by file_id, perm order by md5('42|' || perm || '|' || gene), gene) as pr from ranked, range(1, {PERMS + 1}) t(perm)),
+SQL_100 = _HITS + f""", pm as (select file_id, perm, gene, n_genes, row_number() over (partition by file_id, perm order by md5('42|' || perm || '|' || gene), gene) as pr from ranked, range(1, {PERMS + 1}) t(perm)),
  mv as (select h0.file_id, h0.set_name, pm.perm, pm.pr, h0.n_hits, pm.n_genes, abs(r.score) as w from h0 join pm on pm.file_id = h0.file_id and pm.gene = h0.gene
    join ranked r on r.file_id = h0.file_id and r.rank_no = pm.pr where n_hits >= 3),
  mi as (select *, row_number() over g as i, sum(w) over g as cum, sum(w) over (partition by file_id, set_name, perm) as s from mv window g as (partition by file_id, set_name, perm order by pr)),
  ma as (select *, case when s = 0 then 1 else s end as tot from mi),
  mb as (select *, cum / tot - coalesce((pr - i) / nullif(n_genes - n_hits, 0), 0) as af, case when pr > 1 then (cum - w) / tot - coalesce((pr - i) / nullif(n_genes - n_hits, 0), 0) end as bf from ma),
  mc as (select file_id, set_name, perm, max(n_genes) as n, max(n_hits) as m, max(af) as hi, least(coalesce(min(bf), 0), 0, max(cum / tot) - 1) as lo from mb group by 1, 2, 3),
- nl as (select file_id, set_name, case when n = m then 0 when round(abs(hi), 12) >= round(abs(lo), 12) then hi else lo end as ne from mc),
+ nl as (select file_id, set_name, perm, case when n = m then 0 when round(abs(hi), 12) >= round(abs(lo), 12) then hi else lo end as ne from mc),
  st as (select es.file_id, es.set_name, n_hits, es, count(*) filter (same) as ns, count(*) filter (same and round(abs(ne), 12) >= round(abs(es), 12)) as nx, avg(abs(ne)) filter (same) as mn
    from (select nl.*, es.es, es.n_hits, case when es.es >= 0 then ne >= 0 else ne < 0 end as same from nl join es using (file_id, set_name)) es group by all),
  pv as (select *, greatest(coalesce(nx / nullif(ns, 0), 0), 1 / {PERMS + 1}.0::double) as p_value, es / case when coalesce(mn, 0) > 0 then mn else 1 end as nes from st),
  rk as (select *, count(*) over (partition by file_id) as k, row_number() over (partition by file_id order by p_value, set_name) as r from pv)
-select file_id, set_name, n_hits, round(es, 6) as es, round(nes, 6) as nes, round(p_value, 6) as p_value, round(least(1.0, min(p_value * k / r) over (partition by file_id order by r desc)), 6) as fdr from rk""")
+select file_id, set_name, n_hits, round(es, 6) as es, round(nes, 6) as nes, round(p_value, 6) as p_value, round(least(1.0, min(p_value * k / r) over (partition by file_id order by r desc)), 6) as fdr from rk"""
+
+
+@query(SQL_100)
 def gsea_preranked_100(s, d):
     """The null at a fixed count, which SQL can follow."""
     return _r(gsea.preranked(f.ranked(s, d), sets_of(s, d), ["file_id"], "set_name", PERMS, raised=False), "es", "nes", "p_value", "fdr")
@@ -183,10 +186,15 @@ def bh_whole(s, d):
     return _r(out, "q", nudge=1e-9)
 
 
-@query()
+_STOREY = " + ".join(f"{w!r} * count(*) filter (p_value > {float(x)!r}) / (count(*) * {float(1 - x)!r})" for w, x in zip(stats.STOREY_WEIGHTS.tolist(), stats.np.arange(0.05, 0.95, 0.05)))
+
+
+@query(f.with_(f.CONTEXT) + f""", ok as (select * from context where p_value is not null), pi as (select least(greatest({_STOREY}, 0.01), 1) as pi0 from ok),
+ x as (select *, count(*) over () as n, row_number() over (order by p_value) as r from ok)
+select run_id, program, gene, p_value, round(least(1.0, min(p_value * n / r) over (order by r desc)) * pi0 + 1e-9, 6) as q from x, pi union all select run_id, program, gene, p_value, null from context where p_value is null""")
 def storey_qvalues(s, d):
     out = stats.storey(f.context(s, d).select("run_id", "program", "gene", "p_value"), "p_value", "q")
-    return _r(out, "q")
+    return _r(out, "q", nudge=1e-9)
 
 
 _PAIRED = """with x as (select baseline_label, (perturbation_gene_n - baseline_gene_n)::double as dl from robustness_program_matches where baseline_label is not null and perturbation_gene_n - baseline_gene_n is not null),

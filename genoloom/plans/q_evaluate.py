@@ -32,7 +32,7 @@ def term_coherence(s, d):
     return out.withColumns({c: F.round(c, 6) for c in ("coherence", "shared")})
 
 
-PERMS = 50
+PERMS = 1_000
 
 
 @query(f"""with pg as (select p_brand as program, p_partkey as gene from part), cu as (select 's' || p_size as set_name, p_partkey as gene from part), z as (select program, count(*) as n from pg group by 1),
@@ -105,12 +105,12 @@ def resolution_sweep(s, d):
 
 @query()
 def voted_k(s, d):
-    return evaluate.voted_k(f.embeddings(s, d).select("gene", "v"), [5, 10, 15], 2)
+    return evaluate.voted_k(f.embeddings(s, d).select("gene", "v"), [5, 10, 15], 10)
 
 
 @query()
 def refit_stability(s, d):
-    return evaluate.refit_stability(f.embeddings(s, d).select("gene", "v"), lambda v: discover.kmeans_programs(v, 10, starts=1))
+    return evaluate.refit_stability(f.embeddings(s, d).select("gene", "v"), lambda v: discover.kmeans_programs(v, 10))
 
 
 @query(_METHODS + f""", {f.REFERENCES}, rs as (select distinct set_name, gene from refs), rg as (select distinct gene from rs), m as (select distinct method, program, gene from mm), z as (select method, program, count(*) as n from m group by 1, 2),

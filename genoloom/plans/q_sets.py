@@ -16,7 +16,7 @@ _OVERLAP = f.with_(f.PROGRAMS, f.REFERENCES) + """,
 def _overlap(s, d):
     left = f.programs(s, d).select("program", "gene").distinct()
     right = f.references(s, d).select("set_name", "gene").distinct()
-    return sets.overlap(left, right, ["program"], ["set_name"]).withColumnsRenamed({"size_a": "program_n", "size_b": "reference_n"})
+    return sets.overlap(left, right, ["program"], ["set_name"], collection=True).withColumnsRenamed({"size_a": "program_n", "size_b": "reference_n"})
 
 
 @query(_OVERLAP + "select program, set_name, overlap_n, program_n, reference_n, round(jaccard, 6) as jaccard from o")

@@ -173,12 +173,12 @@ def trapezoid_area(s, d):
 
 @query("""with v as (select baseline_label as g, best_match_jaccard as v from robustness_program_matches where baseline_label is not null and isfinite(best_match_jaccard)),
  nm as (select *, row_number() over (partition by g order by v) - 1 as i, count(*) over (partition by g) as size from v),
- dr as (select g, b, (('0x' || substr(md5('42|' || b || '|' || i), 1, 12))::bigint % size) as i from nm, range(1, 201) t(b)),
+ dr as (select g, b, (('0x' || substr(md5('42|' || b || '|' || i), 1, 12))::bigint % size) as i from nm, range(1, 1001) t(b)),
  ms as (select g, b, avg(v) as m from dr join nm using (g, i) group by 1, 2)
 select g as baseline_label, round(quantile_cont(m, 0.025), 6) as ci_low, round(quantile_cont(m, 0.975), 6) as ci_high, round(avg(m), 6) as mean from ms group by 1""")
 def bootstrap_interval(s, d):
     df = f.load(s, d, "robustness_program_matches").where("baseline_label is not null and best_match_jaccard is not null and not isnan(best_match_jaccard)")
-    out = validate.resampled_means(df, ["baseline_label"], "best_match_jaccard", 200)
+    out = validate.resampled_means(df, ["baseline_label"], "best_match_jaccard", 1_000)
     return out.withColumns({c: F.round(c, 6) for c in ("ci_low", "ci_high", "mean")})
 
 

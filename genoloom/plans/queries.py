@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genoloom.plans import q_annotate, q_discover, q_enrich, q_evaluate, q_expression, q_report, q_sets, q_validate
+from genoloom.plans import q_annotate, q_discover, q_enrich, q_evaluate, q_expression, q_modules, q_report, q_sets, q_suite, q_validate
 from genoloom.plans.registry import QUERIES, SQL, query
 from genoloom.runtime import load
 from genoloom.sources import rank_lines
 
-MODULES = (q_sets, q_enrich, q_expression, q_annotate, q_validate, q_discover, q_report, q_evaluate)
+MODULES = (q_sets, q_enrich, q_expression, q_annotate, q_validate, q_discover, q_report, q_evaluate, q_suite, q_modules)
 
 
 @query(rank_lines.judged_sql() + "select file_id, line_no, reason from j where reason is not null")

@@ -153,3 +153,49 @@ def universe_restricted(members: DataFrame, universe: DataFrame, least: int = 3)
     """Only genes of the universe, and only sets that keep ``least`` of them."""
     df = members.join(universe.select("gene").distinct(), "gene", "left_semi")
     return df.withColumn("_n", F.count("*").over(Window.partitionBy("set_name"))).where(F.col("_n") >= least).drop("_n")
+
+
+#: Names of public collections and what their files' names begin with, by species.
+COLLECTIONS = {
+    "human": {
+        "hallmark": "h.all", "kegg": "c2.cp.kegg_legacy", "kegg_legacy": "c2.cp.kegg_legacy", "kegg_medicus": "c2.cp.kegg_medicus", "biocarta": "c2.cp.biocarta", "pid": "c2.cp.pid",
+        "reactome": "c2.cp.reactome", "msigdb_reactome": "c2.cp.reactome", "wikipathways": "c2.cp.wikipathways", "msigdb_wikipathways": "c2.cp.wikipathways", "c2_cp": "c2.cp.v",
+        "go_bp": "c5.go.bp", "go_cc": "c5.go.cc", "go_mf": "c5.go.mf", "c7": "c7.all", "c7_immunesigdb": "c7.immunesigdb", "immunesigdb": "c7.immunesigdb", "c7_vax": "c7.vax", "vax": "c7.vax",
+    },
+    "mouse": {
+        "hallmark": "mh.all", "kegg": "m2.cp.v", "c2_cp": "m2.cp.v", "reactome": "m2.cp.reactome", "msigdb_reactome": "m2.cp.reactome", "wikipathways": "m2.cp.wikipathways",
+        "msigdb_wikipathways": "m2.cp.wikipathways", "go_bp": "m5.go.bp", "go_cc": "m5.go.cc", "go_mf": "m5.go.mf",
+    },
+}
+
+
+def supported_collections(species: str = "human") -> list[str]:
+    if species not in COLLECTIONS:
+        raise ValueError(f"no species {species!r}; there are {', '.join(COLLECTIONS)}")
+    return sorted(COLLECTIONS[species])
+
+
+def load_collection(spark: SparkSession, name: str, folder: str, species: str = "human") -> DataFrame:
+    """collection, set_name, description, pos, gene of a collection whose GMT file lies in the folder; nothing is downloaded."""
+    if name not in supported_collections(species):
+        raise ValueError(f"no collection {name!r}; there are {', '.join(supported_collections(species))}")
+    path = f"{folder}/{COLLECTIONS[species][name]}*.gmt*"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    if not found:
+        raise FileNotFoundError(path)
+    return read_gmt(spark, path).withColumn("collection", F.lit(name))
+
+
+def load_all_collections(spark: SparkSession, folder: str, species: str = "human", names: list[str] | None = None) -> DataFrame:
+    """The named (or all supported) collections of a species, each file once."""
+    out, seen = None, set()
+    for name in names or supported_collections(species):
+        stem = COLLECTIONS[species].get(name)
+        if stem in seen:
+            continue
+        seen.add(stem)
+        one = load_collection(spark, name, folder, species)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -12,15 +12,20 @@ from genoloom.functions import labels
 from genoloom.operators import gsea
 
 
-def sniffed(path: str) -> str:
-    """The delimiter of a local text file, from its first line."""
-    with open(path, encoding="utf-8", errors="replace") as f:
-        head = f.readline()
-    return max([",", "\t", ";", "|"], key=head.count)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark can reach."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def sniffed(spark: SparkSession, path: str) -> str:
+    """The delimiter of a text file, from its first line."""
+    head = spark.read.text(path).first()
+    return max([",", "\t", ";", "|"], key=(head[0] if head else "").count)
 
 
 def read_table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    return spark.read.csv(path, header=True, sep=sep or sniffed(path))
+    return spark.read.csv(path, header=True, sep=sep or sniffed(spark, path))
 
 
 def _loud(column: Column, ok: Column, message: str) -> Column:
@@ -63,7 +68,7 @@ def read_10x(spark: SparkSession, folder: str, names: str = "symbol") -> DataFra
 
     def part(name: str) -> str:
         for tail in ("", ".gz"):
-            if os.path.exists(f"{folder}/{name}{tail}"):
+            if exists(spark, f"{folder}/{name}{tail}"):
                 return f"{folder}/{name}{tail}"
         raise FileNotFoundError(f"{folder}/{name}")
 
@@ -71,7 +76,7 @@ def read_10x(spark: SparkSession, folder: str, names: str = "symbol") -> DataFra
         df = spark.read.text(path).withColumn("_m", F.monotonically_increasing_id())
         return df.withColumn("i", F.row_number().over(Window.orderBy("_m")))  # an axis file, read by one task
 
-    features = next(n for n in ("features.tsv", "genes.tsv") if os.path.exists(f"{folder}/{n}") or os.path.exists(f"{folder}/{n}.gz"))
+    features = next(n for n in ("features.tsv", "genes.tsv") if exists(spark, f"{folder}/{n}") or exists(spark, f"{folder}/{n}.gz"))
     cells = numbered(part("barcodes.tsv")).select(F.col("i").alias("c"), F.trim("value").alias("cell"))
     cut = F.split("value", "\t")
     genes = numbered(part(features)).select(F.col("i").alias("g"), F.trim(F.coalesce(F.get(cut, F.lit(1 if names == "symbol" else 0)), F.get(cut, F.lit(0)))).alias("gene"))
