@@ -56,7 +56,8 @@ def _wishes(e: DataFrame, state: DataFrame, resolution: float, m2: float) -> Dat
     df = df.select("src", "to", "w", "tot", "label", "k").unionByName(stay).groupBy("src", "to").agg(F.max("w").alias("w"), *[F.first(c).alias(c) for c in ("tot", "label", "k")])
     rest = F.col("tot") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0.0)
     df = df.withColumn("g", F.round(F.col("w") - resolution * F.col("k") * rest / m2, 9))
-    best = F.max(F.struct("g", F.col("to") == F.col("label"), -F.col("to") if dict(state.dtypes)["label"] != "string" else F.col("to"), "to", "label")).alias("b")
+    # ties: staying, then one fixed order of the names
+    best = F.max(F.struct("g", (F.col("to") == F.col("label")).alias("stays"), F.xxhash64("to").alias("order"), "to", "label")).alias("b")
     return df.groupBy("src").agg(best).where("b.to <> b.label").select(F.col("src").alias("node"), F.col("b.to").alias("to"))
 
 
