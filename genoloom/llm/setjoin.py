@@ -18,7 +18,7 @@ several trees is the same row there, and what it costs is bounded by SMALL. Larg
 sets' item hashes: the task verifies the pairs itself, and from the sketches, which it works out
 again, it knows whether a pair was met at a longer prefix or in an earlier tree, so repeats never
 leave the task. A neighbourhood that more than BLOCK classes share is cut by the rarest
-items of the sets first (two sets at the threshold share an item of their prefixes in one common
+items of the sets first, if that parts it (two sets at the threshold share an item of their prefixes in one common
 order; the first shared one counts), and what is still larger into blocks, all pairs of which are compared in separate tasks. So
 no task holds an unbounded group and no pair is lost.
 
@@ -31,6 +31,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -345,19 +346,40 @@ def forest(classes: DataFrame, threshold: float, depth: int, deepest: int) -> Da
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = materialize(classes.select("class_id", "has_list", "hashes").repartition(parts).mapInArrow(_labels(deepest), LABELS))
     prefix = F.substring("label", 1, 1 + 2 * depth)
-    heavy = materialize(labels.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("prefix"))
+    heavy = materialize(labels.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
     if heavy.isEmpty():
         return materialize(labels.repartition(parts, prefix).sortWithinPartitions("label", "class_id").mapInArrow(_nodes(depth, False), NODE))
     light = labels.join(heavy, prefix == F.col("prefix"), "left_anti")
     light = light.repartition(parts, prefix).sortWithinPartitions("label", "class_id").mapInArrow(_nodes(depth, False), NODE)
     # by rarest items: size - ceil(threshold * size) + 1 of them hold one that two sets at the threshold share
-    cut = labels.join(heavy, prefix == F.col("prefix")).join(rare_items(classes, threshold), "class_id")
-    cut = cut.select("prefix", *labels.columns, "rare", F.posexplode("rare").alias("at", "item")).withColumn("before", F.slice("rare", F.lit(1), F.col("at"))).drop("rare", "at")
+    own = labels.join(heavy.select("prefix"), prefix == F.col("prefix"))
+    cut = own.join(rare_items(classes, threshold), "class_id").select("prefix", *labels.columns, "rare", F.posexplode("rare").alias("at", "item"))
+    cut = cut.withColumn("before", F.slice("rare", F.lit(1), F.col("at"))).drop("rare", "at")
+    # where the sets are alike, their rare items part nothing: then the neighbourhood goes to blocks as it is
+    work = cut.groupBy("prefix", "item").agg(F.count("*").alias("m")).groupBy("prefix").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+    kind = materialize(heavy.join(work, "prefix").select("prefix", (F.col("work") * 2 >= F.col("n") * F.col("n")).alias("alike")))
+    cut = cut.join(kind.where("not alike"), "prefix", "left_semi")
+    alike = own.join(kind.where("alike"), "prefix", "left_semi").withColumn("item", F.lit(0).cast("long")).withColumn("before", F.lit(None).cast("array<long>"))
+    cut = cut.unionByName(alike.select(*cut.columns))
     cut = blocked(cut.withColumn("key", F.xxhash64("prefix", "item")), "key", "class_id").drop("key")
     cut = cut.repartition(parts, "prefix", "item", "pair").sortWithinPartitions("prefix", "item", "pair", "label", "class_id").drop("prefix")
     return materialize(light.unionByName(cut.mapInArrow(_nodes(depth, True), NODE)))
 
 
+@contextmanager
+def long_rows(spark) -> Iterator[None]:
+    """For plans over rows of some MB: read one by one, and handed to Python a few at a time."""
+    wanted = {"spark.sql.parquet.enableNestedColumnVectorizedReader": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def rare_items(classes: DataFrame, threshold: float) -> DataFrame:
     """class_id, rare: the prefix of each set in the order of rarity (then of hash), as hashes."""
     held = classes.select("class_id", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
@@ -378,21 +400,24 @@ def with_hashes(nodes: DataFrame, classes: DataFrame) -> DataFrame:
 
 def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     """class_a < class_b, jaccard of all pairs of distinct sets of which one has a list."""
+    spark = classes.sparkSession
     hashed = materialize(classes.select("class_id", "has_list", "items", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes")))
     last = search_depth(threshold)
     first = min(last + LEVELS, DEPTH)
     nodes = forest(hashed, threshold, last, first)
     small, large = nodes.where(F.size("ids") <= SMALL), nodes.where(F.size("ids") > SMALL)
-    large = None if large.isEmpty() else with_hashes(large, hashed)
+    with long_rows(spark):
+        large = None if large.isEmpty() else with_hashes(large, hashed)
     sets, found = hashed.select("class_id", "items"), []
     enough = lambda: F.col("k") >= F.round(F.lit(threshold) * (F.col("t") - F.col("k")), 9)  # noqa: E731  no division that could round a pair at the threshold away
     for depth in range(first, last - 1, -1):
         met = small.mapInArrow(_candidates(threshold, depth, depth == first), "a long, b long").repartition("a").distinct()
         met = met.join(sets.withColumnsRenamed({"class_id": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"class_id": "b", "items": "y"}), "b")
         met = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("t")).where(enough())
-        if large is not None:
-            met = met.unionByName(large.mapInArrow(_verified(threshold, depth, depth == first), "a long, b long, k int, t int"))
         found.append(materialize(met))
+        if large is not None:
+            with long_rows(spark):
+                found.append(materialize(large.mapInArrow(_verified(threshold, depth, depth == first), "a long, b long, k int, t int")))
         pairs = found[0]
         for more in found[1:]:
             pairs = pairs.unionByName(more)
