@@ -54,6 +54,23 @@ def best_match(overlaps: DataFrame, source: list[str], target: str, extra: list[
     return overlaps.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
+def best_partners(left: DataFrame, right: DataFrame) -> DataFrame:
+    """program, other, jaccard: for each left (program, gene) set the right one of highest Jaccard, ties by name.
+
+    A set with an identical partner needs no overlaps, as no Jaccard is above 1: such pairs meet by size and
+    hashes of their genes and are verified gene by gene. Only the other sets are joined by gene.
+    """
+    prints = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("gene")).alias("h"), F.bit_xor(F.xxhash64("gene", F.lit(1))).alias("g")]
+    first = right.groupBy("program").agg(*prints).groupBy("n", "h", "g").agg(F.min("program").alias("other"))
+    alike = left.groupBy("program").agg(*prints).join(first, ["n", "h", "g"]).select("program", "other", "n")
+    held = left.join(alike, "program").join(right.withColumnRenamed("program", "other"), ["other", "gene"])
+    same = held.groupBy("program", "other").agg((F.count("*") == F.first("n")).alias("all"))
+    same = same.where("all").select("program", "other", F.lit(1.0).alias("jaccard"))
+    rest = left.join(same, "program", "left_anti")
+    pairs = overlap(rest.select("program", "gene"), right.select(F.col("program").alias("other"), "gene"), ["program"], ["other"])
+    return same.unionByName(best_match(pairs, ["program"], "other").select("program", "other", "jaccard"))
+
+
 def mean_pairwise_jaccard(members: DataFrame, scope: list[str], key: str) -> DataFrame:
     """scope..., n_sets, redundancy: the mean Jaccard over all pairs, those without overlap included."""
     other = members.withColumnRenamed(key, "_other")
@@ -166,8 +183,7 @@ def fused_scores(primary: DataFrame, secondary: DataFrame, top: int, least_jacca
         return df.withColumn("r", F.row_number().over(part.orderBy(F.desc("score"), "gene")))
 
     a, b = scaled(primary), scaled(secondary)
-    pairs = overlap(a.select("program", "gene"), b.select(F.col("program").alias("other"), "gene"), ["program"], ["other"])
-    pairs = best_match(pairs, ["program"], "other").where(F.col("jaccard") >= least_jaccard).select("program", "other")
+    pairs = best_partners(a.select("program", "gene"), b.select("program", "gene")).where(F.col("jaccard") >= least_jaccard).select("program", "other")
     value = (lambda s, r: s) if mode == "score_sum" else (lambda s, r: 1 / (F.lit(rrf_k) + r))
     own = a.select("program", "gene", value(F.col("score"), F.col("r")).alias("score"))
     lent = pairs.join(b.withColumnRenamed("program", "other"), "other").select("program", "gene", value(F.col("score"), F.col("r")).alias("score"))

@@ -8,7 +8,7 @@ from genoloom.plans.q_annotate import _SCORE, _SOURCE, _LABEL
 from genoloom.plans.q_expression import _DE, de_rows
 from genoloom.plans.q_sets import _OVERLAP, _overlap
 from genoloom.plans.registry import query
-from genoloom.runtime import scratch_path
+from genoloom.runtime import materialize, scratch_path
 from genoloom.sources import gmt
 from genoloom.streaming import context as stream
 
@@ -127,6 +127,7 @@ select program, gene, round(s, 6) as score, row_number() over (partition by prog
 def fused_programs(s, d):
     """Scores of context A fused by reciprocal rank with the best overlapping named program of context B."""
     c = f.context(s, d).where("contextual_score_a is not null and contextual_score_b is not null").groupBy("program", "gene").agg(F.max("contextual_score_a").alias("a"), F.max("contextual_score_b").alias("b"))
+    c = materialize(c)
     a, b = c.select("program", "gene", F.col("a").alias("score")), c.where("program <> 'Unassigned'").select("program", "gene", F.col("b").alias("score"))
     return sets.fused_scores(a, b, 20, 0.05, "rrf").withColumn("score", F.round("score", 6))
 

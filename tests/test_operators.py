@@ -39,6 +39,17 @@ def test_best_match_ties_go_to_the_name(spark):
     assert sorted(one(sets.best_match(o, ["program"], "other"), "program", "other")) == [("a", "x"), ("b", "x")]
 
 
+def test_identical_partners_are_found_without_overlaps(spark, monkeypatch):
+    a = programs(spark, {"a": "AB", "b": "AB", "c": "ABCD", "d": "Z"})
+    b = programs(spark, {"a": "AB", "b": "AB", "e": "ABC", "d": "Z"})
+    seen, overlap = [], sets.overlap
+    monkeypatch.setattr(sets, "overlap", lambda left, *x, **y: seen.append(left) or overlap(left, *x, **y))
+    got = sets.fused_scores(a.withColumn("score", F.lit(1.0)), b.withColumn("score", F.lit(1.0)), 9, 0.05, "rrf")
+    assert {(r.program, r.gene) for r in got.collect()} == {(p, g) for p, gs in {"a": "AB", "b": "AB", "c": "ABCD", "d": "Z"}.items() for g in gs}
+    assert {r.program for r in seen[0].collect()} == {"c"}  # the others have an identical partner
+    assert sorted(one(sets.best_partners(a, b), "program", "other", "jaccard")) == [("a", "a", 1.0), ("b", "a", 1.0), ("c", "e", 0.75), ("d", "d", 1.0)]
+
+
 def test_redundancy_counts_pairs_without_overlap(spark):
     m = programs(spark, {"a": "AB", "b": "AB", "c": "Z"}).withColumn("run", F.lit(1))
     r = sets.mean_pairwise_jaccard(m, ["run"], "program").first()
