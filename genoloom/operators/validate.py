@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from genoloom.functions.digests import Texts
 from genoloom.operators import sets
 
 
@@ -166,21 +173,77 @@ def leaderboard(scores: DataFrame, scope: list[str], method: str, metrics: list[
     return df.select(*scope, method, mean.alias("mean_rank"))
 
 
+#: Draws that a task keeps for its small groups.
+_KEPT_DRAWS = 4_000_000
+
+
 def resampled_means(values: DataFrame, scope: list[str], value: str, n: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of a group's mean from ``n`` resamples with keyed draws.
+    """Percentile interval of a group's mean from ``n`` resamples with keyed draws; null values are left out.
 
     Draw j of resample b takes the value at place md5(seed|b|j) mod size of the group's order by
-    value; the draws are an exploded sequence, so no group is collected.
+    value. A draw's number is the same for all groups, so a task makes it once and reads its sorted rows
+    group by group; nothing but the values is shuffled, and a task holds the values of one group.
     """
     part = Window.partitionBy(*scope)
-    numbered = values.select(*scope, F.col(value).alias("v"), (F.row_number().over(part.orderBy(value)) - 1).alias("i"), F.count("*").over(part).alias("size"))
-    draws = numbered.select(*scope, "i", "size").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 12), 16, 10).cast("long")
-    draws = draws.select(*scope, "b", F.pmod(key, F.col("size")).alias("i"))
-    means = draws.join(numbered.select(*scope, "i", "v"), [*scope, "i"]).groupBy(*scope, "b").agg(F.avg("v").alias("m"))
-    return means.groupBy(*scope).agg(
-        F.percentile("m", alpha / 2).alias("ci_low"), F.percentile("m", 1 - alpha / 2).alias("ci_high"), F.avg("m").alias("mean")
-    )
+    sorted_ = values.where(F.col(value).isNotNull()).select(*scope, F.col(value).cast("double").alias("v"))
+    sorted_ = sorted_.withColumn("i", F.row_number().over(part.orderBy("v")) - 1)
+    most = max(1, _KEPT_DRAWS // n)
+
+    def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.empty((0, n), np.uint64)
+
+        def drawn(first: int, last: int) -> Iterator[np.ndarray]:
+            places = Texts([str(i).encode() for i in range(first, last)])
+            for b in range(1, n + 1):
+                yield places.md5(f"{seed}|{b}|".encode())[0] >> np.uint64(16)  # twelve hexadecimal digits
+
+        def means(v: np.ndarray) -> np.ndarray:
+            nonlocal kept
+            size = np.uint64(len(v))
+            if len(v) <= most:
+                if len(v) > len(kept):
+                    upto = min(most, max(64, 2 * len(v)))
+                    kept = np.stack(list(drawn(0, upto)), axis=1)
+                return v[kept[: len(v)] % size].sum(axis=0) / len(v)
+            total = np.zeros(n)
+            for first in range(0, len(v), 1 << 16):
+                for b, x in enumerate(drawn(first, min(len(v), first + (1 << 16)))):
+                    total[b] += v[x % size].sum()
+            return total / len(v)
+
+        def at(m: np.ndarray, share: float) -> float:
+            place = share * (len(m) - 1)
+            low, high = math.floor(place), math.ceil(place)
+            return float(m[low] if low == high or m[low] == m[high] else (high - place) * m[low] + (place - low) * m[high])
+
+        def rows(heads: list[pa.RecordBatch], groups: list[np.ndarray]) -> pa.RecordBatch:
+            found = []
+            for v in groups:
+                m = means(v)
+                mean, m = sum(m.tolist()) / n, np.sort(m)
+                found.append((at(m, alpha / 2), at(m, 1 - alpha / 2), mean))
+            head = pa.Table.from_batches(heads).combine_chunks().select(scope)
+            for name, x in zip(("ci_low", "ci_high", "mean"), zip(*found)):
+                head = head.append_column(name, pa.array(x, pa.float64()))
+            return head.to_batches()[0]
+
+        head, open_ = None, []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("i").to_numpy() == 0)
+            pieces = np.split(batch.column("v").to_numpy(), starts)
+            open_.append(pieces[0])
+            if not len(starts):
+                continue
+            before = [] if head is None else [head]
+            groups = [np.concatenate(open_)] * len(before) + pieces[1:-1]
+            if groups:
+                yield rows([*before, batch.take(pa.array(starts[:-1]))], groups)
+            head, open_ = batch.take(pa.array(starts[-1:])), [pieces[-1]]
+        if head is not None:
+            yield rows([head], [np.concatenate(open_)])
+
+    kinds = [T.StructField(f.name, f.dataType) for f in values.select(*scope).schema]
+    return sorted_.mapInArrow(intervals, T.StructType([*kinds, *(T.StructField(c, T.DoubleType()) for c in ("ci_low", "ci_high", "mean"))]))
 
 
 def matrix_report(raw: DataFrame, ids: list[str], value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from genoloom.functions import labels
+from genoloom.functions.digests import Texts
 from genoloom.operators import annotate, discover, embed, expression, gsea, report, sets, stats, validate
 
 
@@ -431,3 +432,25 @@ def test_report_frames(spark):
     assert r.context_shift == pytest.approx(0.4) and r.context_evidence == pytest.approx(0.8) and r.signed_significance == pytest.approx(2.0)
     g = frame(spark, [(True,), (None,), (False,)], "g boolean")
     assert one(report.gate_summary(g, ["g"]), "n_tested", "n_passed", "rate") == [(2, 1, 0.5)]
+
+
+def test_md5_of_many_texts():
+    for texts in ([str(i).encode() for i in range(9000)], [b"x" * i for i in range(80)], []):
+        for prefix in (b"42|1000|", b"", b"y" * 50):
+            want = [hashlib.md5(prefix + t).hexdigest() for t in texts]
+            assert ["%016x%016x" % x for x in zip(*(x.tolist() for x in Texts(texts).md5(prefix)))] == want
+
+
+def test_resampled_means_follow_the_draws_without_a_broadcast(spark, monkeypatch):
+    groups = {"a": [0.5, 0.1, 0.9], "b": [0.25], "c": [i / 7 for i in range(40)]}
+    df = frame(spark, [(g, x) for g, v in groups.items() for x in v] + [("a", None), (None, 2.0)], "g string, v double")
+    for kept in (4_000_000, 100):  # draws kept, and made anew for a large group
+        monkeypatch.setattr(validate, "_KEPT_DRAWS", kept)
+        out = validate.resampled_means(df, ["g"], "v", 20)
+        assert "Broadcast" not in out._jdf.queryExecution().toString() and "Join" not in out._jdf.queryExecution().toString()
+        got = {r.g: r for r in out.collect()}
+        assert got[None].mean == 2.0 and len(got) == 4
+        for g, v in groups.items():
+            v = sorted(v)
+            m = [np.mean([v[int(hashlib.md5(f"42|{b}|{i}".encode()).hexdigest()[:12], 16) % len(v)] for i in range(len(v))]) for b in range(1, 21)]
+            assert np.allclose((got[g].ci_low, got[g].ci_high, got[g]["mean"]), (*np.quantile(m, (0.025, 0.975)), np.mean(m)))
