@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.functions.digests import Texts
 from genoloom.operators import discover, embed, sets
 from genoloom.runtime import materialize, release
 
@@ -45,7 +47,8 @@ def permuted_match(members: DataFrame, curated: DataFrame, universe: DataFrame,
     """One row: observed mean best Jaccard, mean and deviation of the null, p (at least 1 / (n_perm + 1)) and z.
 
     A permutation orders the universe by md5(seed|perm|gene) and cuts it into consecutive blocks
-    of the programs' sizes, in order of their names.
+    of the programs' sizes, in order of their names. Every task gets the universe once and makes its share
+    of the permutations from it in memory (some 150 bytes a gene), so no permutation is shuffled; a null is no gene.
     """
 
     def mean_best(df: DataFrame, scope: list[str]) -> DataFrame:
@@ -54,14 +57,61 @@ def permuted_match(members: DataFrame, curated: DataFrame, universe: DataFrame,
         best = pairs.join(na, [*scope, "program"]).join(nb, "set_name").groupBy(*scope, "program").agg(F.max(sets.jaccard(F.col("k"), F.col("n"), F.col("m"))).alias("j"))
         return na.join(best, [*scope, "program"], "left").groupBy(*scope).agg(F.avg(F.coalesce("j", F.lit(0.0))).alias("v"))
 
-    size = members.groupBy("program").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("program").rowsBetween(Window.unboundedPreceding, 0))  # one row a program
-    blocks = size.select("program", (upto - F.col("n")).alias("lo"), (upto - 1).alias("hi"))
-    slots = blocks.select("program", F.explode(F.sequence("lo", "hi")).alias("place"))
-    drawn = universe.select("gene").distinct().withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("gene").cast("string")))
-    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("perm").orderBy(key, "gene")) - 1)
-    null = mean_best(drawn.join(slots, "place").select("perm", "program", "gene"), ["perm"])
+    spark = members.sparkSession
+    size = members.groupBy("program").agg(F.count("*").alias("n")).orderBy("program").collect()  # one row a program
+    named, n = np.array([r["program"] is not None for r in size], bool), np.array([r["n"] for r in size], np.int64)
+    known = curated.where("set_name is not null")
+    sets_ = known.groupBy("set_name").agg(F.count("*").alias("m")).withColumn("id", F.row_number().over(Window.orderBy("set_name")) - 1)  # one row a set
+    m = np.array([r["m"] for r in sets_.orderBy("id").select("m").collect()], np.int64)
+    held = known.join(sets_, "set_name").groupBy("gene").agg(F.collect_list("id").alias("ids"))
+    tasks = min(n_perm, 2 * spark.sparkContext.defaultParallelism)
+    # a number for each partition that its hash leads to
+    lead = spark.range(64 * tasks).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks))).agg(F.min("id").cast("int")).collect()
+    lead = sorted(r[1] for r in lead)
+    every = F.explode(F.array(*[F.lit(x) for x in lead])).alias("task")
+    genes = universe.select("gene").where("gene is not null").distinct().join(held, "gene", "left").select(F.col("gene").cast("string").alias("gene"), "ids")
+
+    def permuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got or not len(n):
+            return
+        table = pa.Table.from_batches(got)
+        texts = Texts(table.column("gene").cast("binary").to_pylist())
+        ids = table.column("ids").combine_chunks()
+        row = np.repeat(np.arange(len(ids)), ids.value_lengths().fill_null(0).to_numpy())
+        group = ids.flatten().to_numpy()
+        first = lead.index(got[0].column("task")[0].as_py())
+        del got, table, ids
+        end = np.minimum(np.cumsum(n), len(texts.size))
+        own = np.diff(end, prepend=0)
+        inner = end[end < len(texts.size)]
+        v = {}
+        for perm in range(first + 1, n_perm + 1, len(lead)):
+            high, low = texts.md5(f"{seed}|{perm}|".encode())
+            order = np.sort(high)
+            block = np.searchsorted(order[inner], high, "right")
+            if (order[inner] == order[inner - 1]).any():  # a border between equal first halves
+                place = np.empty(len(high), np.int64)
+                place[np.lexsort((low, high))] = np.arange(len(high))
+                block = np.searchsorted(inner, place, "right")
+            j = np.zeros(len(n) + 1)
+            cell = block[row] * len(m) + group
+            if len(j) * len(m) <= max(1 << 20, 4 * len(cell)):
+                k = np.bincount(cell, minlength=len(j) * len(m))
+                cell = np.flatnonzero(k)
+                k = k[cell]
+            else:
+                cell, k = np.unique(cell, return_counts=True)
+            inside = cell < len(n) * len(m)
+            cell, k = cell[inside], k[inside]
+            at = cell // max(len(m), 1)
+            np.maximum.at(j, at, k / (own[at] + m[cell % max(len(m), 1)] - k))
+            j = np.where(named, j[:-1], 0.0)[own > 0]
+            if len(j):
+                v[perm] = j.mean()
+        yield pa.RecordBatch.from_pydict({"perm": pa.array(list(v), pa.int32()), "v": pa.array(list(v.values()), pa.float64())})
+
+    null = genes.select(every, "gene", "ids").repartition(tasks, "task").mapInArrow(permuted, "perm int, v double")
     seen = mean_best(members.withColumn("perm", F.lit(0)), ["perm"]).select(F.col("v").alias("observed"))
     both = null.join(F.broadcast(seen))  # one row
     out = both.groupBy("observed").agg(F.avg("v").alias("null_mean"), F.stddev_pop("v").alias("null_sd"), F.count(F.when(F.round("v", 12) >= F.round("observed", 12), 1)).alias("n_extreme"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions import labels
 from genoloom.functions.digests import Texts
-from genoloom.operators import annotate, discover, embed, expression, gsea, report, sets, stats, validate
+from genoloom.operators import annotate, discover, embed, evaluate, expression, gsea, report, sets, stats, validate
 
 
 def frame(spark, rows, schema):
@@ -454,3 +454,22 @@ def test_resampled_means_follow_the_draws_without_a_broadcast(spark, monkeypatch
             v = sorted(v)
             m = [np.mean([v[int(hashlib.md5(f"42|{b}|{i}".encode()).hexdigest()[:12], 16) % len(v)] for i in range(len(v))]) for b in range(1, 21)]
             assert np.allclose((got[g].ci_low, got[g].ci_high, got[g]["mean"]), (*np.quantile(m, (0.025, 0.975)), np.mean(m)))
+
+
+def test_permuted_match_shuffles_no_permutation(spark):
+    rng = np.random.default_rng(3)
+    members = {p: rng.choice(60, size, replace=False).tolist() for p, size in (("a", 9), ("b", 20), ("c", 5), ("d", 12))}
+    curated = {f"s{i}": rng.choice(70, 15, replace=False).tolist() for i in range(6)}
+    df, cu = programs(spark, {p: map(str, g) for p, g in members.items()}), programs(spark, {p: map(str, g) for p, g in curated.items()}).withColumnRenamed("program", "set_name")
+
+    def mean_best(groups):
+        return np.mean([max((len(g & set(c)) / len(g | set(c)) for c in curated.values()), default=0) for g in map(set, groups) if g])
+
+    for universe in (60, 40):  # the second is too small for all programs
+        order = [sorted(range(universe), key=lambda g: hashlib.md5(f"42|{b}|{g}".encode()).hexdigest()) for b in range(1, 31)]
+        ends = np.cumsum([len(members[p]) for p in "abcd"])
+        null = [mean_best([o[e - len(members[p]) : e] for p, e in zip("abcd", ends)]) for o in order]
+        out = evaluate.permuted_match(df, cu, spark.range(universe).select(F.col("id").cast("string").alias("gene")), 30)
+        assert "windowspecdefinition(perm" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got, observed = out.first(), mean_best(members.values())
+        assert np.allclose(tuple(got), (observed, np.mean(null), np.std(null), max(np.mean(np.array(null) >= observed), 1 / 31), (observed - np.mean(null)) / np.std(null)))
