@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoloom.operators import annotate, discover, embed, enrich, expression, gsea, report, sets, stats
+from genoloom.operators import annotate, discover, embed, enrich, expression, gsea, packed, report, sets, stats
 from genoloom.runtime import materialize
 from genoloom.sources import gmt, tables
 
@@ -170,13 +170,4 @@ def method_table(memberships: DataFrame, references: DataFrame) -> DataFrame:
 
     memberships: method, program, gene; references: set_name, gene.
     """
-    m = memberships.select("method", "program", "gene").distinct()
-    ref = references.select("set_name", "gene").distinct()
-    genes = ref.select("gene").distinct()
-    n_ref = genes.count()
-    cover = m.select("method", "gene").distinct().join(genes, "gene", "left_semi").groupBy("method").agg((F.count("*") / n_ref).alias("coverage"))
-    best = sets.best_match(sets.overlap(m, ref, ["method", "program"], ["set_name"], collection=True), ["method", "program"], "set_name")
-    align = m.select("method", "program").distinct().join(best.select("method", "program", "jaccard"), ["method", "program"], "left").groupBy("method").agg(F.avg(F.coalesce("jaccard", F.lit(0.0))).alias("alignment"))
-    out = sets.mean_pairwise_jaccard(m, ["method"], "program").withColumnRenamed("n_sets", "n_programs")
-    out = out.join(sets.novelty(m, ref, ["method"]).select("method", "novelty"), "method").join(sets.specificity(m, ["method"], "program").select("method", "specificity"), "method")
-    return out.join(cover, "method", "left").join(align, "method").fillna(0.0, ["coverage"])
+    return packed.tables(memberships, references.select("set_name", "gene").distinct(), [])
