@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from genoloom.functions import labels
-from genoloom.operators import columns, expression, suite
+from genoloom.operators import columns, expression, packed, suite
 from genoloom.plans import frames as f
 from genoloom.plans.q_discover import _METHODS, method_memberships
 from genoloom.plans.q_expression import _CELLS, cells
@@ -162,13 +162,9 @@ _TUNING = _METHODS + f""", {f.REFERENCES}, rs as (select distinct collection_nam
 @query(_TUNING + "select method, count(*) as n_collections, round(0.8 * avg(score) + 0.2 * min(score), 6) as robust_score from sc group by 1")
 def tuning_scores(s, d):
     """Each method's programs against every collection, and the robust mean over collections."""
-    from genoloom.plans.pipeline import method_table
-
     m, _ = method_memberships(s, d)
-    refs, scored = f.references(s, d), None
-    for c in sorted(r[0] for r in refs.select("collection_name").distinct().collect()):  # one row a collection
-        one = suite.tuning_score(method_table(m, refs.where(F.col("collection_name") == c))).select("method", "score")
-        scored = one if scored is None else scored.unionByName(one)
+    refs = f.references(s, d).select("collection_name", "set_name", "gene").where("collection_name is not null")
+    scored = suite.tuning_score(packed.tables(m, refs, ["collection_name"]))
     return suite.robust_score(scored, ["method"]).withColumn("robust_score", F.round("robust_score", 6))
 
 
