@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.operators import blocks
 from genoloom.runtime import dense_ids, materialize, release
 
 
@@ -194,29 +195,17 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
     return _scaled(rank)
 
 
-def eigenvector_centrality(edges: DataFrame, iterations: int = 200, every: int = 5, tolerance: float = 1e-8) -> DataFrame:
+def eigenvector_centrality(edges: DataFrame | blocks.Blocks, iterations: int = 200) -> DataFrame:
     """gene, score: power iteration of the adjacency (with half a step kept, so that bipartite parts settle), scaled to [0, 1].
 
-    It ends when the vector of length 1 moves by less than the tolerance (sum of absolute changes) in a check.
+    The vector is that of all iterations; ``blocks.powers`` makes it from fewer products with the adjacency.
     """
-    e = materialize(both_ways(edges))
-    top = e.groupBy("src").agg(F.sum("weight").alias("k")).agg(F.max("k")).first()[0] or 1.0
-    e = e.withColumn("weight", F.col("weight") / top)  # keeps the iterates in range
-    held = rank = materialize(e.select(F.col("src").alias("gene")).distinct().withColumn("x", F.lit(1.0)))
-    for i in range(iterations):
-        flow = e.join(rank.toDF("dst", "x"), "dst").groupBy(F.col("src").alias("gene")).agg(F.sum(F.col("weight") * F.col("x")).alias("m"))
-        new = rank.join(flow, "gene", "left").select("gene", (F.col("x") + F.coalesce("m", F.lit(0.0))).alias("x"))
-        if (i + 1) % every == 0 or i + 1 == iterations:
-            size = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s"))
-            new = materialize(new.join(F.broadcast(size)).select("gene", (F.col("x") / F.col("s")).alias("x")))
-            gap = new.join(held.toDF("gene", "o"), "gene").agg(F.sum(F.abs(F.col("x") - F.col("o")))).first()[0]
-            release(held)
-            held = new
-            if gap is None or gap < tolerance:
-                rank = new
-                break
-        rank = new
-    return _scaled(rank)
+    if isinstance(edges, blocks.Blocks):
+        return _scaled(blocks.powers(edges, iterations))
+    made = blocks.of_edges(edges)
+    out = _scaled(blocks.powers(made, iterations))
+    release(made.tiles, made.genes)
+    return out
 
 
 def topological_overlap(edges: DataFrame) -> DataFrame:
